@@ -28,7 +28,9 @@ from strideline.llm.common import WHITE, chunks, text_bytes, texts, written
 
 CAPACITY, END = 4096, 1
 #: Text bytes that are tokenised at once, words that a worker remembers, and rows of a salted rank window.
-CHUNK, REMEMBER, SALT_ROWS = 1 << 21, 300_000, 200_000
+CHUNK, REMEMBER, SALT_ROWS = 1 << 21, 700_000, 200_000
+#: A special token of the vocabulary.
+BETWEEN = "<|endoftext|>"
 
 
 def vocabulary() -> str:
@@ -45,22 +47,34 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
+        self.between = self.encoder.token_to_id(BETWEEN)
         self.known: dict[bytes, int] = {}
         self.ids, self.size, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
         self.first = np.zeros(1 << 16, np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
-        for got in (self.encoder.encode_batch_fast([w.decode() for w in words[i : i + 4096]], add_special_tokens=False) for i in range(0, len(words), 4096)):
-            for e in got:
-                ids, k = e.ids, len(self.known)
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                if k >= len(self.size):
-                    self.size, self.first = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.first))
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.first[k], self.size[k] = self.used, len(ids)
-                self.used += len(ids)
-                self.known[words[k - self.base]] = k
+        """Ids of many words come from one encoding, in which a special token stands between words that cannot hold it."""
+        plain = [w for w in words if b"<|" not in w]
+        for i in range(0, len(plain), 20_000):
+            part = plain[i : i + 20_000]
+            ids = np.array(self.encoder.encode_batch_fast([BETWEEN.join(w.decode() for w in part)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.between)
+            self._keep(part, np.delete(ids, cuts), np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+        odd = [w for w in words if b"<|" in w]
+        for w, e in zip(odd, self.encoder.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), strict=True):
+            self._keep([w], np.array(e.ids, np.uint32), np.array([len(e.ids)]))
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        k, n = len(self.known), len(words)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while k + n > len(self.size):
+            self.size, self.first = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.first))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.size[k : k + n] = size
+        self.first[k : k + n] = self.used + np.cumsum(size) - size
+        self.used += len(ids)
+        self.known.update(zip(words, range(k, k + n), strict=True))
 
     def __call__(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents in one array, and where each document's ids start."""
@@ -70,7 +84,6 @@ class WordIds:
         if len(self.known) + len(words) > REMEMBER:
             self.known, self.used = {}, 0
         new = [w for w in words if w not in self.known]
-        self.base = len(self.known)
         self._learn(new)
         code = np.fromiter((self.known[w] for w in words), np.int64, len(words))[flat.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
         size = self.size[code]
