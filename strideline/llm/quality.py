@@ -110,22 +110,36 @@ class Trees:
         return 1 / (1 + np.exp(-2 * margin))
 
 
+def _nodes(node: object, weight: float, rows: list[list[float]]) -> int:
+    """Add a node of a Spark tree and all below it to ``rows``; its place."""
+    i = len(rows)
+    rows.append([-1, 0, i, i, node.prediction() * weight])
+    if node.getClass().getSimpleName() == "InternalNode":
+        rows[i][0], rows[i][1] = node.split().featureIndex(), node.split().threshold()
+        rows[i][2] = _nodes(node.leftChild(), weight, rows)
+        rows[i][3] = _nodes(node.rightChild(), weight, rows)
+    return i
+
+
+def _arrays(roots: list[int], rows: list[list[float]], depth: int, share: float) -> Trees:
+    f, threshold, left, right, value = np.array(rows, float).T
+    return Trees(np.array(roots), f.astype(int), threshold, left.astype(int), right.astype(int), value, depth, share)
+
+
 def flatten(model: object, share: float) -> Trees:
     """The trees of a fitted Spark model as arrays, leaf values times tree weights."""
     rows: list[list[float]] = []
+    roots = [_nodes(tree._call_java("rootNode"), weight, rows) for tree, weight in zip(model.trees, model.treeWeights, strict=True)]
+    return _arrays(roots, rows, DEPTH, share)
 
-    def add(node: object, weight: float) -> int:
-        i = len(rows)
-        rows.append([-1, 0, i, i, node.prediction() * weight])
-        if node.getClass().getSimpleName() == "InternalNode":
-            rows[i][0], rows[i][1] = node.split().featureIndex(), node.split().threshold()
-            rows[i][2] = add(node.leftChild(), weight)
-            rows[i][3] = add(node.rightChild(), weight)
-        return i
 
-    roots = [add(tree._call_java("rootNode"), weight) for tree, weight in zip(model.trees, model.treeWeights, strict=True)]
-    f, threshold, left, right, value = np.array(rows, float).T
-    return Trees(np.array(roots), f.astype(int), threshold, left.astype(int), right.astype(int), value, DEPTH, share)
+def flatten_tree(model: object) -> Trees:
+    """One fitted classification tree: its classes 0 and 1 score below and above a half."""
+    rows: list[list[float]] = []
+    _nodes(model._call_java("rootNode"), 1.0, rows)
+    for row in rows:
+        row[4] = 2 * row[4] - 1
+    return _arrays([0], rows, model.depth, 0.5)
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Trees:
