@@ -27,27 +27,33 @@ GRAM = 24
 
 
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``codes`` (0: separator) in order of their first ``depth`` symbols at least, by prefix doubling."""
-    n = len(codes)
-    rank = codes.astype(np.int64)
-    span = 1
+    """Suffixes of ``codes`` (bytes) in order of their first ``depth`` bytes at least, by prefix doubling from seven."""
+    n, span = len(codes), 7
+    key = np.zeros(n, np.int64)
+    for i in range(span):
+        key[: n - i] |= codes[i:].astype(np.int64) << (8 * (span - 1 - i))
     while True:
-        key = rank << 32
-        key[: n - span] |= rank[span:] + 1 if span < n else 0
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        rank = new
-        span *= 2
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
         if span >= depth or rank[order[-1]] == n - 1:
             return order
+        key = rank << 32
+        if span < n:
+            key[: n - span] |= rank[span:] + 1
+        span *= 2
 
 
 def common_prefixes(codes: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in ``order``, where under ``least``; else ``least``."""
+    """Common prefix of each suffix with the one before it in ``order``, where under ``least``; else ``least``.
+
+    An interval of the suffixes that begin with some string, extended backward by each byte before them, is the
+    interval of a string one longer. Where one ends, the common prefix has the length of the string before the
+    extension, unless a shorter string's interval ended there already.
+    """
     n = len(codes)
-    bwt = codes[order - 1]  # the text ends in a separator, so it can be read as a circle
+    bwt = codes[order - 1]  # the text is read as a circle
     back = np.empty(n, np.int64)
     back[np.argsort(bwt, kind="stable")] = np.arange(n)
     lcp = np.full(n + 1, least, np.int32)
@@ -65,9 +71,7 @@ def common_prefixes(codes: np.ndarray, order: np.ndarray, least: int) -> np.ndar
         edge[1:] = (symbol[1:] != symbol[:-1]) | (each[1:] != each[:-1])
         first = np.flatnonzero(edge)
         lo, hi = back[place[first]], back[place[np.append(first[1:], len(by)) - 1]] + 1
-        fresh = (lcp[hi] == least) & (symbol[first] > 0)
-        if value == 0:
-            fresh |= (symbol[first] == 0) & (lcp[hi] == least)
+        fresh = lcp[hi] == least
         left, right = lo[fresh], hi[fresh]
         lcp[right] = value
         if not len(left):
@@ -80,11 +84,10 @@ def common_prefixes(codes: np.ndarray, order: np.ndarray, least: int) -> np.ndar
 def repeated_windows(strings: list[bytes], n: np.ndarray, doc_id: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each packed run, which of its windows start more than once in the bucket."""
     size = np.array([len(s) for s in strings])
-    codes = np.zeros(int(size.sum()) + len(size), np.uint16)
+    codes = np.zeros(int(size.sum()) + len(size), np.uint8)  # a zero byte after each run; no window spans it
     first = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
     for a, s in zip(first, strings, strict=True):
         codes[a : a + len(s)] = np.frombuffer(s, np.uint8)
-        codes[a : a + len(s)] += 1
     order = suffix_order(codes, length)
     group = np.cumsum(common_prefixes(codes, order, length) < length)
     starts = np.zeros(len(codes), bool)

@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 from strideline.llm.common import chunks, text_bytes, texts, written
 
 #: Bytes of text that are hashed at once, and bytes of packed runs that a solver gets at once.
-CHUNK, SOLVE = 1 << 20, 1 << 20
+CHUNK, SOLVE = 1 << 20, 1 << 21
 #: Different runs of one minimiser above which its windows are dealt out by window hash.
 HOT = 1500
 #: Windows in a run at most, which bounds packed strings.
 RUN = 1024
 #: Window hashes of hot minimisers in a partition, about.
-PART = 2_000_000
+PART = 1_000_000
+#: Window hashes that a task holds before it deals them out.
+DEAL = 150_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -236,30 +238,29 @@ def solve_hot(packed: DataFrame, rule: Rule, windows: int) -> DataFrame:
     parts = max(8, -(-windows // PART))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, m, p, d, o = [], [], [], [], []
-            for mini, ph, doc_id, n, s in zip(*(batch.column(c).to_pylist() for c in ("mini", "ph", "doc_id", "n", "packed")), strict=True):
-                if rule.tokens is byte_tokens:
-                    view = memoryview(s)
-                    digest = [xxhash.xxh3_128_digest(view[i : i + rule.length]) for i in range(n)]
-                else:
-                    words = s.split(b" ")
-                    digest = [xxhash.xxh3_128_digest(b" ".join(words[i : i + rule.length])) for i in range(n)]
-                h += digest
-                m.append(np.full(n, mini))
-                p.append(np.full(n, ph))
-                d.append(np.full(n, -1 if doc_id is None else doc_id))
-                o.append(np.arange(n))
-            if not h:
-                continue
-            table = np.empty(len(h), dtype=[("h", "V16"), ("mini", "i8"), ("ph", "i8"), ("doc", "i8"), ("o", "i4")])
-            table["h"] = np.frombuffer(b"".join(h), "V16")
-            table["mini"], table["ph"], table["doc"], table["o"] = (np.concatenate(x) for x in (m, p, d, o))
-            part = np.frombuffer(table["h"].tobytes(), np.uint64)[::2] % np.uint64(parts)
+        kept: list[tuple[bytes, int, int, int, int]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            table = np.empty(len(kept), dtype=[("h", "V16"), ("mini", "i8"), ("ph", "i8"), ("doc", "i8"), ("o", "i4")])
+            h, table["mini"], table["ph"], table["doc"], table["o"] = zip(*kept, strict=True)
+            joined = b"".join(h)
+            table["h"] = np.frombuffer(joined, "V16")
+            part = np.frombuffer(joined, np.uint64)[::2] % np.uint64(parts)
             order = np.argsort(part, kind="stable")
             edges = np.searchsorted(part[order], np.arange(parts + 1))
             some = [i for i in range(parts) if edges[i + 1] > edges[i]]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([table[order[edges[i] : edges[i + 1]]].tobytes() for i in some], pa.binary())], ["part", "rows"])
+            kept.clear()
+
+        for batch in batches:
+            for mini, ph, doc_id, n, s in zip(*(batch.column(c).to_pylist() for c in ("mini", "ph", "doc_id", "n", "packed")), strict=True):
+                words = [] if rule.tokens is byte_tokens else s.split(b" ")
+                doc = -1 if doc_id is None else doc_id
+                kept += [(xxhash.xxh3_128_digest(b" ".join(words[i : i + rule.length]) if words else s[i : i + rule.length]), mini, ph, doc, i) for i in range(n)]
+                if len(kept) > DEAL:
+                    yield from out()
+        if kept:
+            yield from out()
 
     kind = [("h1", "u8"), ("h2", "u8"), ("mini", "i8"), ("ph", "i8"), ("doc", "i8"), ("o", "i4")]
 
