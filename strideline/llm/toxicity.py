@@ -24,9 +24,12 @@ from strideline.llm.labelled import held_out, sampled, training_sample
 from strideline.llm.windows import _TABLE, spans_hash
 
 FOLDS, FOLD, THRESHOLD = 4, 2, 0.3
-SAMPLE, SHARDS, EPOCHS = 30_000, 6, 3
+#: Labelled rows for training at most, rows of a shard about, and passes over them.
+SAMPLE, SHARD, EPOCHS = 30_000, 10_000, 6
 BITS = 22
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.6, 0.1
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.0
+#: Documents of a shard that a coordinate needs; fewer cannot overcome L1.
+LEAST = 3
 CHUNK = 1 << 20
 
 _LETTER = np.zeros(256, bool)
@@ -60,8 +63,13 @@ def features(docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def ftrl(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates that were seen and their weights; the bias is coordinate -1, without L1."""
-    seen, compact = np.unique(np.concatenate(rows), return_inverse=True)
-    parts = np.split(compact, np.cumsum([len(r) for r in rows])[:-1])
+    count = np.zeros(1 << BITS, np.int32)
+    for r in rows:
+        count[r] += 1
+    seen = np.flatnonzero(count >= LEAST)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[seen] = np.arange(len(seen))
+    parts = [p[p >= 0] for p in (place[r] for r in rows)]
     z, n = np.zeros(len(seen) + 1), np.zeros(len(seen) + 1)
     l1 = np.append(np.full(len(seen), L1), 0.0)
 
@@ -94,7 +102,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.nd
         return pd.DataFrame({"at": at[seen], "w": w[seen]})
 
     sample = training_sample(labels, "toxic", FOLDS, FOLD, most)
-    rows = sampled(docs, sample).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SHARDS)))
+    shards = max(1, round(min(most, sample.count()) / SHARD))
+    rows = sampled(docs, sample).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)))
     mixed = rows.groupBy("shard").applyInPandas(fit, "at long, w double").groupBy("at").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("k"))
     found = mixed.toPandas()  # at most 2**BITS rows, and few in practice for L1
     bias = found.loc[found["at"] == -1]
