@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from strideline.llm.common import texts
 from strideline.llm.labelled import held_out, sampled, training_sample
-from strideline.llm.windows import _TABLE, spans_hash
+from strideline.llm.words import batches, words_of
 
 FOLDS, FOLD, THRESHOLD = 4, 2, 0.3
 #: Labelled rows for training at most, rows of a shard about, and passes over them.
@@ -32,22 +32,13 @@ ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.0
 LEAST = 3
 CHUNK = 1 << 20
 
-_LETTER = np.zeros(256, bool)
-_LETTER[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)] = True
-_LETTER[128:] = True
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def features(docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(document, coordinate) pairs, sorted, each once. Coordinate 0 is left for the bias."""
-    parts = [d.lower().encode() for d in docs]
-    raw = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
-    letter = _LETTER[raw].view(np.int8)
-    edge = np.diff(letter, prepend=np.int8(0))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    limit = np.cumsum([len(p) + 1 for p in parts])
-    doc = np.searchsorted(limit, starts, side="right").astype(np.uint64)
-    word = spans_hash(_TABLE[raw], starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    doc, word = words_of(docs)
+    doc = doc.astype(np.uint64)
     found, owner = [word], [doc]
     for lag in (1, 2):
         if len(word) > lag:
@@ -117,21 +108,15 @@ def score(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     own = texts(docs, F.col("doc_id").cast("long").alias("doc_id"))
     at, w, bias = train(own, labels, most)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros(1 << BITS, np.float32)
         dense[at] = w
-        for batch in batches:
+        for batch in rows:
             column = batch.column("text").to_pylist()
             margin = np.full(len(column), bias)
-            i = 0
-            while i < len(column):
-                j, size = i + 1, len(column[i])
-                while j < len(column) and size + len(column[j]) < CHUNK:
-                    size += len(column[j])
-                    j += 1
+            for i, j in batches(column, CHUNK):
                 doc, place = features(column[i:j])
                 margin[i:j] += np.bincount(doc, dense[place], j - i)
-                i = j
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))))], ["doc_id", "score"])
 
     found = own.mapInArrow(scan, "doc_id long, score double")
