@@ -39,7 +39,7 @@ def forward_summary(picks: DataFrame) -> DataFrame:
 def line_movement(picks: DataFrame) -> DataFrame:
     """Mean size of CLV and the share that moved more than two points, by market."""
     size = F.abs("clv")
-    return picks.groupBy("market").agg(F.count("clv").alias("n"), F.avg(size).alias("mean_abs_clv"), F.avg((size > 2).cast("double")).alias("moved_share"))
+    return picks.groupBy("market").agg(F.count("clv").alias("n"), F.avg(size).alias("mean_abs_clv"), F.avg((F.round(size, 9) > 2).cast("double")).alias("moved_share"))
 
 
 def daily_suggestions(opps: DataFrame, day: str = "game_date", top: int = 5) -> DataFrame:
