@@ -159,8 +159,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their group of near copies; of rows with one id, one."""
     kept = written(near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    once = docs.join(kept.where("n = 1").select("doc_id"), "doc_id", "left_semi")
+    # The kept ids grow with the corpus: they are hashed on their side of a shuffle at any size, and texts are never sorted.
+    once = docs.join(kept.where("n = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
     if kept.where("n > 1 or doc_id is null").isEmpty():
         return once.select(docs.columns)
-    twice = docs.join(kept.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    twice = docs.join(kept.where("n > 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(twice).unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(docs.columns)
