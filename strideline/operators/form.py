@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideline.functions import rules
-from strideline.operators.log import ORDER, team_window
+from strideline.operators.log import play_order, team_window
 
 PRIOR = (Window.unboundedPreceding, -1)
 
@@ -53,7 +53,7 @@ def streak(log: DataFrame, inclusive: bool = False) -> DataFrame:
     w = team_window()
     turned = F.when(F.col("won") == F.lag("won").over(w), 0).otherwise(1)
     island = log.withColumn("_turn", turned).withColumn("_island", F.sum("_turn").over(w))
-    run = F.row_number().over(Window.partitionBy("team", "_island").orderBy(*ORDER))
+    run = F.row_number().over(Window.partitionBy("team", "_island").orderBy(*play_order()))
     now = island.withColumn("streak", F.when(F.col("won") == 1, run).otherwise(-run))
     if not inclusive:
         now = now.withColumn("streak", F.coalesce(F.lag("streak").over(w), F.lit(0)))

@@ -27,7 +27,8 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], at: str, val
     columns = [c for c in left.columns if c not in by and c != at]
     known = right.select(*by, at, *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in columns], F.struct(*values).alias("_v"), F.lit(False).alias("_left"))
     asked = left.select(*by, at, *columns, F.lit(None).cast(known.schema["_v"].dataType).alias("_v"), F.lit(True).alias("_left"))
-    order = F.unix_micros(F.col(at)) if dict(left.dtypes)[at].startswith("timestamp") else F.date_diff(F.col(at), F.lit("1970-01-01").cast("date"))
+    kind = dict(left.dtypes)[at]
+    order = F.unix_micros(F.col(at)) if kind.startswith("timestamp") else F.unix_date(F.col(at)) if kind == "date" else F.col(at)
     both = asked.unionByName(known).withColumn("_o", order)
     frame = Window.partitionBy(*by).orderBy("_o").rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
     last = F.last("_v", ignorenulls=True).over(frame)

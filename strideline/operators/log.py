@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Same-day games of a team: home rows first, then by game.
-ORDER = ("game_date", F.desc("is_home"), "game_id")
+def play_order() -> list[str | Column]:
+    """The order of a team's games: on the same day home rows first, then by game."""
+    return ["game_date", F.desc("is_home"), "game_id"]
 
 
 def team_log(games: DataFrame) -> DataFrame:
@@ -17,7 +18,7 @@ def team_log(games: DataFrame) -> DataFrame:
 
 
 def team_window(*more: str) -> Window:
-    return Window.partitionBy("team", *more).orderBy(*ORDER)
+    return Window.partitionBy("team", *more).orderBy(*play_order())
 
 
 def two_rows_to_one(rows: DataFrame, key: str, side: str, values: list[str]) -> DataFrame:

@@ -223,7 +223,7 @@ def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(LOG, COUNTED, "select team, season, game_id, is_home, reset_day, coalesce(game_date < reset_day, false) as is_preseason from (select *, max(case when counter < prev and counter <= 3 then game_date end) over (partition by team, season) as reset_day from (select *, lag(counter) over (partition by team, season order by game_date, is_home desc, game_id) as prev from counted))"))
 def reset_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = form.reset_point(counted(spark, sf_dir), ["team", "season"], list(log.ORDER), "counter", 3)
+    rows = form.reset_point(counted(spark, sf_dir), ["team", "season"], log.play_order(), "counter", 3)
     return rows.select("team", "season", "game_id", "is_home", "reset_day", "is_preseason")
 
 
