@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideline.llm import decontaminate, packing, quality, secret_scan, simhash_dedup
+from strideline.llm import decontaminate, near_copies, packing, quality, secret_scan
 from strideline.llm.common import documents, written
 
 
@@ -15,7 +15,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
-    return simhash_dedup.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ rows in the result; a null id never is a component's id unless all its documents
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, repeat
 
 import numpy as np
@@ -34,10 +34,11 @@ BLOCK = 4096
 SEGMENTS = ((42, 22, 1), (21, 21, 1), (0, 21, 0))
 
 
-def fingerprint(text: bytes, size: int = SHINGLE) -> int:
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """Hashes of the text's runs of ``size`` words, repeats included; a shorter text is one run, one without words none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= size:
         shingles = [joined]
@@ -45,7 +46,11 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
         ends = list(accumulate(map(len, words), lambda a, b: a + b + 1))
         starts = [0, *(e + 1 for e in ends[:-1])]
         shingles = map(joined.__getitem__, map(slice, starts, ends[size - 1 :]))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+
+
+def fingerprint(text: bytes, size: int = SHINGLE) -> int:
+    hashes = shingle_hashes(text, size)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65536):
         part = hashes[i : i + 65536].view(np.uint8).reshape(-1, 8)
@@ -132,17 +137,22 @@ def _cleared(own: Column, single: Column) -> Column:
     return F.transform(F.filter(single, lambda b: own.bitwiseAND(b) != 0), lambda b: own - b)
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """distinct: fp. Links (a, b) whose components are those of all fingerprints within the radius."""
-    keyed = distinct.select("fp", F.explode(probes(F.col("fp"))).alias("key"))
-    hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK).select(F.col("key"), F.ceil(F.col("size") / (BLOCK // 2)).cast("int").alias("blocks"))
+def dealt(keyed: DataFrame, node: str, block: int) -> DataFrame:
+    """keyed: ``node``, key. The same with buckets of over ``block`` members as groups of two blocks each, so that all pairs meet."""
+    hot = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block).select(F.col("key"), F.ceil(F.col("size") / (block // 2)).cast("int").alias("blocks"))
     joined = keyed.join(hot, "key", "left")
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    mine = F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")
     group = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(mine, j).cast("long") * F.col("blocks") + F.greatest(mine, j) + 1)
     )
-    dealt = joined.select("fp", F.col("key").alias("bucket"), F.explode(group).alias("block")).select("fp", F.when(F.col("block") == 0, F.col("bucket")).otherwise(F.xxhash64("bucket", "block")).alias("key"))
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_verify, "a long, b long")
+    rows = joined.select(node, F.col("key").alias("bucket"), F.explode(group).alias("block"))
+    return rows.select(node, F.when(F.col("block") == 0, F.col("bucket")).otherwise(F.xxhash64("bucket", "block")).alias("key"))
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """distinct: fp. Links (a, b) whose components are those of all fingerprints within the radius."""
+    keyed = distinct.select("fp", F.explode(probes(F.col("fp"))).alias("key"))
+    return dealt(keyed, "fp", BLOCK).repartition("key").sortWithinPartitions("key").mapInArrow(_verify, "a long, b long")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -156,9 +166,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return table.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_groups) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their group of near copies; of rows with one id, one."""
-    kept = written(near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    kept = written(groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
     # The kept ids grow with the corpus: they are hashed on their side of a shuffle at any size, and texts are never sorted.
     once = docs.join(kept.where("n = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
     if kept.where("n > 1 or doc_id is null").isEmpty():
