@@ -174,17 +174,21 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tagged-record text of every game with box lines: what an event file holds."""
-    b = tables.box(spark, sf_dir).where("event_id % 20 = 0")
+    b = tables.box(spark, sf_dir)
     person = F.concat(F.lit("start,p"), F.col("player_id").cast("string"), F.lit(",name,"), F.col("is_home").cast("int").cast("string"), F.lit(",9,"), F.col("line_no").cast("string"))
     earned = F.concat(F.lit("data,er,p"), F.col("player_id").cast("string"), F.lit(","), (F.col("pts") % 7).cast("string"))
     each = b.groupBy("event_id").agg(F.sort_array(F.collect_set(person)).alias("people"), F.sort_array(F.collect_set(earned)).alias("earned"))
     return each.select(F.array_join(F.concat(F.array(F.concat(F.lit("id,G"), F.col("event_id").cast("string")), F.lit("info,site,park")), "people", "earned"), "\n").alias("value"))
 
 
+#: Records in one tagged text: a file is read as one value.
+RECORDS = 1000
+
+
 @query()
 def tagged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{_shared(spark)}/tagged"
-    _lines(spark, sf_dir).coalesce(4).write.text(path)
+    _lines(spark, sf_dir).write.option("maxRecordsPerFile", RECORDS).text(path)
     return readers.starters(readers.tagged_lines(spark, path)).select("record_id", "home_starter", "away_starter", "home_er", "away_er")
 
 

@@ -26,7 +26,7 @@ def tagged_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     A file is one text, so its lines keep their order wherever files are read.
     """
-    files = spark.read.option("wholetext", True).text(paths).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
     lines = files.where(F.trim("text") != "").withColumn("fields", F.split("text", ",")).withColumn("tag", F.element_at("fields", 1))
     record = F.sum((F.col("tag") == "id").cast("int")).over(Window.partitionBy("file").orderBy("line"))
     return lines.withColumn("record", record).where("record > 0").select("file", "record", "line", "tag", F.transform("fields", lambda x: F.trim(F.regexp_replace(x, '^"|"$', ""))).alias("fields"))
@@ -36,8 +36,12 @@ def starters(lines: DataFrame) -> DataFrame:
     """One row per record: its id, info values, the starting pitcher of each side (position 1) and earned runs."""
     f = lambda i: F.get("fields", F.lit(i))
     start = (F.col("tag") == "start") & (f(5) == "1")
-    info = F.map_from_entries(F.collect_list(F.when(F.col("tag") == "info", F.struct(f(1), f(2)))))
-    earned = F.map_from_entries(F.collect_list(F.when((F.col("tag") == "data") & (f(1) == "er"), F.struct(f(2), rules.number(f(3))))))
+    # Of a repeated key the last line counts.
+    key = F.when(F.col("tag") == "info", f(1)).when((F.col("tag") == "data") & (f(1) == "er"), f(2))
+    last = F.col("line") == F.max("line").over(Window.partitionBy("file", "record", "tag", "key"))
+    lines = lines.withColumn("key", key).withColumn("last", last & F.col("key").isNotNull())
+    info = F.map_from_entries(F.collect_list(F.when(F.col("last") & (F.col("tag") == "info"), F.struct("key", f(2)))))
+    earned = F.map_from_entries(F.collect_list(F.when(F.col("last") & (F.col("tag") == "data"), F.struct("key", rules.number(f(3))))))
     out = lines.groupBy("file", "record").agg(
         F.max(F.when(F.col("tag") == "id", f(1))).alias("record_id"),
         info.alias("info"),
