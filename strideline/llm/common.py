@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -24,12 +26,38 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: a cut of lineage that outlives executors."""
+_swept: set[str] = set()
+
+
+def _at_exit(spark: SparkSession, folder: str) -> None:
+    """Once the driver's Python ends, nothing reads the written tables any more."""
+    if folder not in _swept:
+        _swept.add(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+        def sweep() -> None:
+            with contextlib.suppress(Exception):  # the JVM may have ended before
+                path.getFileSystem(conf).delete(path, True)
+
+        atexit.register(sweep)
+
+
+def written(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back: a cut of lineage that outlives executors.
+
+    The tables are deleted when the driver ends; that of ``instead_of``, which nothing else reads, at once.
+    """
     spark = df.sparkSession
+    _at_exit(spark, shared_folder(spark))
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    if instead_of is not None:
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(instead_of._written_to)
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    return out
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +71,7 @@ def texts(docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, bytes]:
     """Offsets and the bytes of a string column (null: empty), without a Python string for each row."""
-    column = pc.fill_null(column, "").cast(pa.large_binary())
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     _, offsets, data = column.buffers()

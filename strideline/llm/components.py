@@ -16,7 +16,8 @@ def components(links: DataFrame) -> DataFrame:
     """links (a, b): node and root, the least id of its component, for every node in a link.
 
     Large-star and small-star rounds: each node's neighbours are linked to the least of them until nothing changes.
-    A node with very many neighbours is one row of the grouped side of each join, which adaptive execution can split.
+    A node with very many neighbours is one row of the grouped side of each join, so adaptive execution can split its
+    other side. Null ends and links of a node with itself are left out; repeated links count once; no links, no rows.
     """
     edges = written(links.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct())
     seen = None
@@ -26,7 +27,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
-        edges = written(small.where("a <> b").distinct())
+        edges = written(small.where("a <> b").distinct(), instead_of=edges)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).union(edges.select("b", "b").distinct())

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideline.llm.common import text_bytes
-from strideline.llm.windows import Rule, covered, row_ids, with_marks, word_tokens
+from strideline.llm.windows import HOT, Rule, covered, longer_grams, row_ids, with_marks, word_tokens
 
 LENGTH = 50
 #: Words of the grams whose least hash deals out a window.
@@ -58,9 +58,9 @@ SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 LARGEST = (1 << 63) - 1
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, keep_text: bool = False, hot: int = HOT) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 and, if asked for, ``kept`` (the remaining words, one space between)."""
-    rule = Rule(length, min(GRAM, length), word_tokens, within=False)
+    rule = Rule(length, longer_grams(GRAM, length), word_tokens, within=False, hot=hot)
 
     def solver(strings: list[bytes], n: np.ndarray, doc_id: np.ndarray) -> list[np.ndarray]:
         return later_windows(strings, n, doc_id, length)

@@ -8,9 +8,15 @@ A window is ``length`` consecutive tokens (bytes or words) of one document. Its
 2. Equal runs meet in a ``groupBy`` with map-side combining, so a group of copies of any size is one row afterwards.
 3. A minimiser with several different runs is contested: only there can windows be equal while their runs differ. One
    representative of each of its runs is cut from the texts again and travels as a packed string to the
-   bucket of its minimiser, where a solver compares the windows. A minimiser with more than ``HOT`` different runs is
-   dealt out anew by window hash (128 bits), so that no bucket grows with the corpus.
-4. Marks come back to the documents as ranges of window starts.
+   bucket of its minimiser, where a solver compares the windows.
+4. A minimiser with more than ``hot`` different runs is split: its packed runs take the same steps as if they were
+   documents, with the next longer gram of ``Rule.grams``. The last gram is a whole window, so a passage that very many
+   documents share in different surroundings ends as equal runs of one window, which meet in step 2. No bucket grows
+   with the corpus, and windows are compared by the same solver at every size.
+5. Marks come back to the documents as ranges of window starts.
+
+A row is named by 128 bits of its id and whole text, a run by its minimiser and 64 bits of its tokens; rows with the
+same id and text have the same marks.
 """
 
 from __future__ import annotations
@@ -28,14 +34,10 @@ from strideline.llm.common import chunks, text_bytes, texts, written
 
 #: Bytes of text that are hashed at once, and bytes of packed runs that a solver gets at once.
 CHUNK, SOLVE = 1 << 20, 1 << 21
-#: Different runs of one minimiser above which its windows are dealt out by window hash.
+#: Different runs of one minimiser above which it is split by a longer gram.
 HOT = 1500
 #: Windows in a run at most, which bounds packed strings.
 RUN = 1024
-#: Window hashes of hot minimisers in a partition, about.
-PART = 1_000_000
-#: Window hashes that a task holds before it deals them out.
-DEAL = 150_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -109,10 +111,17 @@ def word_tokens(at: np.ndarray, data: bytes) -> Tokens:
 @dataclass(frozen=True)
 class Rule:
     length: int
-    k: int
+    #: Tokens of the grams whose least hash deals out a window, shortest first; the last is a whole window.
+    grams: tuple[int, ...]
     tokens: Callable[[np.ndarray, bytes], Tokens]
     #: Whether equal windows of one document count.
     within: bool
+    hot: int = HOT
+
+
+def longer_grams(first: int, length: int) -> tuple[int, ...]:
+    """``first`` tokens (a quarter of a window at most), then half a window, then a whole one."""
+    return tuple(sorted({max(1, min(first, length // 4)), (length + 1) // 2, length}))
 
 
 def grams(t: Tokens, k: int) -> np.ndarray:
@@ -121,13 +130,13 @@ def grams(t: Tokens, k: int) -> np.ndarray:
     return spans_hash(t.codes, i, i + k)
 
 
-def find_runs(t: Tokens, rule: Rule) -> Iterator[tuple[int, int, int, int, bool, bytes]]:
+def find_runs(t: Tokens, rule: Rule, k: int) -> Iterator[tuple[int, int, int, int, bool, bytes]]:
     """(document in chunk, start, windows, minimiser, whether its gram occurs again in the run, packed) of each run."""
     total = len(t.codes) - rule.length + 1
     if total <= 0:
         return
-    w = rule.length - rule.k + 1
-    h = grams(t, rule.k)
+    w = rule.length - k + 1
+    h = grams(t, k)
     low = sliding_min(h, w)
     size = np.diff(t.first)
     doc = np.repeat(np.arange(len(size)), size)[:total]
@@ -147,10 +156,10 @@ def find_runs(t: Tokens, rule: Rule) -> Iterator[tuple[int, int, int, int, bool,
         yield d, a - first, b - a, m, again, t.packed(a, b - 1 + rule.length)
 
 
-RUNS = "rid long, doc_id long, mini long, ph long, start int, n int, again boolean"
+RUNS = "rid binary, doc_id long, mini long, ph long, start int, n int, again boolean"
 
 
-def runs(docs: DataFrame, rule: Rule) -> DataFrame:
+def runs(docs: DataFrame, rule: Rule, k: int) -> DataFrame:
     """docs: rid, doc_id, text. A row of hashes for each run."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +167,7 @@ def runs(docs: DataFrame, rule: Rule) -> DataFrame:
             at, data = text_bytes(batch.column("text"))
             rid, doc_id = batch.column("rid"), batch.column("doc_id")
             for lo, hi in chunks(at, CHUNK):
-                rows = [(lo + d, m, s, n, again, xxhash.xxh3_64_intdigest(p)) for d, s, n, m, again, p in find_runs(rule.tokens(at[lo : hi + 1], data), rule)]
+                rows = [(lo + d, m, s, n, again, xxhash.xxh3_64_intdigest(p)) for d, s, n, m, again, p in find_runs(rule.tokens(at[lo : hi + 1], data), rule, k)]
                 if rows:
                     d, m, s, n, again, ph = zip(*rows, strict=True)
                     d = pa.array(d, pa.int64())
@@ -233,98 +242,40 @@ def solve(packed: DataFrame, solver: Solver) -> DataFrame:
     return parts.select("mini", "ph", "doc_id", "n", "packed").mapInArrow(scan, MARKS)
 
 
-def solve_hot(packed: DataFrame, rule: Rule, windows: int) -> DataFrame:
-    """Windows of hot minimisers, dealt out by their own hash: a packed array for each task and partition, no row each."""
-    parts = max(8, -(-windows // PART))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[bytes, int, int, int, int]] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            table = np.empty(len(kept), dtype=[("h", "V16"), ("mini", "i8"), ("ph", "i8"), ("doc", "i8"), ("o", "i4")])
-            h, table["mini"], table["ph"], table["doc"], table["o"] = zip(*kept, strict=True)
-            joined = b"".join(h)
-            table["h"] = np.frombuffer(joined, "V16")
-            part = np.frombuffer(joined, np.uint64)[::2] % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(parts + 1))
-            some = [i for i in range(parts) if edges[i + 1] > edges[i]]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([table[order[edges[i] : edges[i + 1]]].tobytes() for i in some], pa.binary())], ["part", "rows"])
-            kept.clear()
-
-        for batch in batches:
-            for mini, ph, doc_id, n, s in zip(*(batch.column(c).to_pylist() for c in ("mini", "ph", "doc_id", "n", "packed")), strict=True):
-                words = [] if rule.tokens is byte_tokens else s.split(b" ")
-                doc = -1 if doc_id is None else doc_id
-                kept += [(xxhash.xxh3_128_digest(b" ".join(words[i : i + rule.length]) if words else s[i : i + rule.length]), mini, ph, doc, i) for i in range(n)]
-                if len(kept) > DEAL:
-                    yield from out()
-        if kept:
-            yield from out()
-
-    kind = [("h1", "u8"), ("h2", "u8"), ("mini", "i8"), ("ph", "i8"), ("doc", "i8"), ("o", "i4")]
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for part, rows in zip(batch.column("part").to_pylist(), batch.column("rows").to_pylist(), strict=True):
-                held.setdefault(part, []).append(rows)
-        for part in list(held):
-            t = np.frombuffer(b"".join(held.pop(part)), np.dtype(kind))
-            order = np.lexsort((t["doc"], t["h2"], t["h1"]))
-            t = t[order]
-            new = np.concatenate([[True], (t["h1"][1:] != t["h1"][:-1]) | (t["h2"][1:] != t["h2"][:-1])])
-            group = np.cumsum(new) - 1
-            dup = np.bincount(group)[group] > 1 if rule.within else t["doc"][new][group] < t["doc"]
-            t = t[dup]
-            t = t[np.lexsort((t["o"], t["ph"], t["mini"]))]
-            cuts = np.flatnonzero(np.concatenate([[True], (t["mini"][1:] != t["mini"][:-1]) | (t["ph"][1:] != t["ph"][:-1])])) if len(t) else np.zeros(0, int)
-            ends = np.append(cuts[1:], len(t))
-            for i in range(0, len(cuts), 5000):
-                lo, hi = cuts[i : i + 5000], ends[i : i + 5000]
-                flags = []
-                for a, b in zip(lo, hi, strict=True):
-                    f = np.zeros(t["o"][b - 1] + 1, bool)
-                    f[t["o"][a:b]] = True
-                    flags.append(f)
-                yield _marks_batch(t["mini"][lo].tolist(), t["ph"][lo].tolist(), flags)
-
-    dealt = packed.select("mini", "ph", "doc_id", "n", "packed").mapInArrow(deal, "part int, rows binary")
-    return dealt.repartition(parts, "part").mapInArrow(meet, MARKS)
-
-
-def with_marks(docs: DataFrame, rule: Rule, solver: Solver) -> DataFrame:
-    """docs: rid, doc_id, text and more. Adds ``marks``: ranges of window starts to remove (null: none).
+def marks_of(docs: DataFrame, rule: Rule, solver: Solver, level: int = 0) -> DataFrame:
+    """docs: rid, doc_id, text. rid and marks (ranges of window starts to remove) of the rows that have any.
 
     A window is marked if it also starts elsewhere (rule.within), or else in a document with a smaller id.
     """
-    table = written(runs(docs, rule))
+    last = level + 1 == len(rule.grams)
+    table = written(runs(docs, rule, rule.grams[level]))
     least = F.min(F.struct("doc_id", "rid", "start", "n")).alias("rep")
     same = table.groupBy("mini", "ph").agg(F.count(F.lit(1)).alias("copies"), least, F.max("again").alias("again"))
     named = same.groupBy("mini").agg(F.count(F.lit(1)).alias("runs"), F.max("again").alias("any_again"))
     contested = named.where((F.col("runs") > 1) | F.col("any_again") if rule.within else F.col("runs") > 1)
-    wanted = same.join(contested.select("mini", "runs"), "mini").select("mini", "ph", "rep.*", "runs")
-    packed = written(cut(docs, wanted.withColumn("hot", F.col("runs") > HOT), rule))
-    hot = packed.where("hot")
-    windows = hot.agg(F.sum("n")).first()[0] or 0
+    wanted = same.join(contested.select("mini", "runs"), "mini").select("mini", "ph", "rep.*", (F.lit(not last) & (F.col("runs") > rule.hot)).alias("hot"))
+    packed = written(cut(docs, wanted, rule))
     marks = solve(packed.where("not hot"), solver)
-    if windows:
-        marks = marks.unionByName(solve_hot(hot, rule, windows))
-    marks = marks.groupBy("mini", "ph").agg(F.flatten(F.collect_list("marks")).alias("marks"))
+    hot = packed.where("hot").select(F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("mini", "ph")])).alias("rid"), "doc_id", F.col("packed").alias("text"), "mini", "ph")
+    if not last and not hot.isEmpty():
+        split = marks_of(hot.select("rid", "doc_id", "text"), rule, solver, level + 1)
+        marks = marks.unionByName(split.join(hot.select("rid", "mini", "ph"), "rid").select("mini", "ph", "marks"))
     found = same.where("copies > 1").select("mini", "ph", "copies", F.col("rep.doc_id").alias("least")).join(marks, ["mini", "ph"], "full")
-    if rule.within:
-        part = F.when(F.coalesce(F.col("copies"), F.lit(1)) > 1, F.array(F.struct(F.lit(0).alias("from"), F.col("n").alias("to")))).otherwise(F.col("marks"))
-    else:
-        part = F.when(F.col("doc_id") > F.col("least"), F.array(F.struct(F.lit(0).alias("from"), F.col("n").alias("to")))).otherwise(F.col("marks"))
+    whole = F.array(F.struct(F.lit(0).alias("from"), F.col("n").alias("to")))
+    part = F.when(F.coalesce("copies", F.lit(1)) > 1 if rule.within else F.col("doc_id") > F.col("least"), whole).otherwise(F.col("marks"))
     hits = table.join(found, ["mini", "ph"]).select("rid", F.col("start"), part.alias("part")).where(F.size("part") > 0)
     shifted = F.transform("part", lambda x: F.struct((x["from"] + F.col("start")).alias("from"), (x["to"] + F.col("start")).alias("to")))
-    per = hits.groupBy("rid").agg(F.flatten(F.collect_list(shifted)).alias("marks"))
-    return docs.join(per, "rid", "left")
+    return hits.groupBy("rid").agg(F.flatten(F.collect_list(shifted)).alias("marks"))
+
+
+def with_marks(docs: DataFrame, rule: Rule, solver: Solver) -> DataFrame:
+    """docs: rid, doc_id, text and more. Adds ``marks``: ranges of window starts to remove (null: none)."""
+    return docs.join(marks_of(docs, rule, solver), "rid", "left")
 
 
 def row_ids(docs: DataFrame) -> DataFrame:
     """doc_id, text (null: empty) and rid, which names a row by its id and whole text."""
-    return texts(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("rid", F.xxhash64("doc_id", "text"))
+    return texts(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("rid", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "text"))))
 
 
 def covered(marks: list[dict[str, int]] | None, size: int, length: int) -> list[tuple[int, int]]:

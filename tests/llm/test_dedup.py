@@ -6,6 +6,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from llm import cases
@@ -140,15 +141,42 @@ def test_dedup_of_odd_rows(spark):
     assert suffix_dedup.dedup(cases.none(spark)).count() == 0 and substring_dedup.dedup(cases.none(spark)).count() == 0
 
 
-@pytest.mark.parametrize(("hot", "run"), [(1500, 1024), (0, 4)])
+@pytest.mark.parametrize(("hot", "run"), [(1500, 1024), (2, 1024), (0, 4)])
 def test_dedup_of_small_alphabets(spark, monkeypatch, hot, run):
-    """Short windows over few letters: many overlaps, ties of minimisers, and (hot: 0) the path for hot minimisers."""
-    monkeypatch.setattr(windows, "HOT", hot)
+    """Short windows over few letters: many overlaps, ties of minimisers, and (hot: 2, 0) minimisers split by longer grams."""
     monkeypatch.setattr(windows, "RUN", run)
     rng = random.Random(5)
     base = ["".join(rng.choice("ab") for _ in range(rng.randrange(0, 60))) for _ in range(30)]
     texts = [*base, *(b[3:] + c[:9] for b, c in zip(base, base[1:], strict=False)), "a" * 50, "ab" * 30, "ba" * 30]
     rows = list(enumerate(texts))
-    assert cases.ordered(suffix_dedup.dedup(cases.table(spark, texts), length=12).collect()) == suffix_brute(rows, 12)
+    assert cases.ordered(suffix_dedup.dedup(cases.table(spark, texts), length=12, hot=hot).collect()) == suffix_brute(rows, 12)
     spaced = [" ".join(t) for t in texts]
-    assert cases.ordered(substring_dedup.dedup(cases.table(spark, spaced), length=12).collect()) == words_brute(list(enumerate(spaced)), 12)
+    assert cases.ordered(substring_dedup.dedup(cases.table(spark, spaced), length=12, hot=hot).collect()) == words_brute(list(enumerate(spaced)), 12)
+
+
+def test_a_passage_in_very_many_surroundings(spark):
+    """Every document holds the same passage between words of its own, so its minimisers are hot at every gram but the last."""
+    passage = cases.prose(70, 9)
+    texts = [f"{cases.prose(3 + k % 50, 1000 + k)} {passage} {cases.prose(k % 40, 5000 + k)}" for k in range(60)]
+    rows = list(enumerate(texts))
+    docs = cases.table(spark, texts)
+    assert cases.ordered(suffix_dedup.dedup(docs, length=150, hot=5).collect()) == suffix_brute(rows, 150)
+    assert cases.ordered(substring_dedup.dedup(docs, length=40, hot=5).collect()) == words_brute(rows, 40)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_interval_expansion_against_sorted_suffixes(seed):
+    """Common prefixes of neighbours in suffix order, below the least length, with repeats and zero bytes."""
+    rng = np.random.default_rng(seed)
+    part, cut = rng.integers(0, 3, 40).astype(np.uint8), np.full(1, 255, np.uint8)
+    codes = np.concatenate([part, rng.integers(0, 3, 30).astype(np.uint8), cut, part, part[5:], cut] if seed else [np.zeros(50, np.uint8), cut])
+    least = 12
+    order = suffix_dedup.suffix_order(codes, least)
+    raw = codes.tobytes()
+    heads = [raw[i : i + least] for i in order]
+    assert heads == sorted(heads) and sorted(order.tolist()) == list(range(len(codes)))
+    lcp = suffix_dedup.common_prefixes(codes, order, least)
+    full = [i for i in range(1, len(order)) if min(order[i], order[i - 1]) + least < len(raw) and max(order[i], order[i - 1]) + least < len(raw)]
+    for i in full:
+        a, b = heads[i - 1], heads[i]
+        assert lcp[i] == next((k for k in range(least) if a[k] != b[k]), least)
