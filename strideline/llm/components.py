@@ -32,3 +32,14 @@ def components(links: DataFrame) -> DataFrame:
         if now == seen:
             return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).union(edges.select("b", "b").distinct())
         seen = now
+
+
+def named(rooted: DataFrame) -> DataFrame:
+    """rooted: node, least (an id), root (null: linked with none). node and component_id, the least id of its component.
+
+    The least ids are a written table, so both sides of the join come straight from a shuffle and adaptive execution can
+    split a component that holds a large share of all nodes.
+    """
+    rows = rooted.withColumn("root", F.coalesce("root", "node"))
+    least = written(rows.groupBy("root").agg(F.min("least").alias("component_id")))
+    return rows.join(least, "root").select("node", "component_id")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from strideline.llm import simhash_dedup
 from strideline.llm.common import text_bytes, texts, written
-from strideline.llm.components import components
+from strideline.llm.components import components, named
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS, BLOCK = 24, 4, 512
@@ -138,9 +138,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     for end in ("a", "b"):
         pairs = pairs.join(group.select(F.col("node").alias(end), F.col("group").alias(f"group_{end}")), end)
     second = components(pairs.select(F.col("group_a").alias("a"), F.col("group_b").alias("b"))).withColumnRenamed("node", "group")
-    named = rooted.join(second, "group", "left").select("node", "least", F.coalesce("root", "group").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return table.select("doc_id", "node").join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    whole = rooted.join(second, "group", "left").select("node", "least", F.coalesce("root", "group").alias("root"))
+    return table.select("doc_id", "node").join(named(whole), "node").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -1,14 +1,17 @@
 """Secret scans: candidates by shape, kept or dropped by a random forest, in DataFrame functions only.
 
-A candidate is a white-space word that holds a long run of token characters with a digit, or follows a word such as
-"password" and an assignment sign. Its features are its length, shares and transitions of character classes, the part
-of it that common words cover, whether it looks like a path, address, number or identifier, what the three words
-before it say, and what the document's path says. Spark trains a random forest on ``labelled_findings``, a table of
-labelled findings made by rule; its trees become one SQL expression, so scanning is a narrow pass without a shuffle:
-every candidate of a document, with its score, is an array in the document's row.
-
-Null and empty texts have no candidates; a private key block counts as one finding. Repeated rows are scanned alike. Extra
-columns stay in ``redact`` and are not returned by ``findings``.
+A text is cut into pieces at white space, quotes, brackets and , ; & ? |, so a line of JSON or the query of an address
+gives each of its values. A candidate is a piece of 16 or more token characters with a digit, a piece that follows a
+word such as "password" and an assignment sign, or a block between BEGIN and END lines. Its features are its length,
+shares and transitions of character classes, the part of it that common words cover, whether it looks like a path,
+address, number or identifier, what the three pieces before it say, and what the document's path says. Spark trains a
+random forest on ``labelled_findings``, a table of labelled findings made by rule; its trees become one SQL expression,
+so scanning is a narrow pass without a shuffle: every candidate of a document, with its score, is an array in the
+document's row. What has no digit and no such word before it is no candidate: of random strings of 32 letters and
+digits that is 1 in 300.
+
+Null and empty texts have no candidates. Repeated rows are scanned alike. Extra columns stay in ``redact`` and are not
+returned by ``findings``.
 """
 
 from __future__ import annotations
@@ -26,27 +29,31 @@ TOKEN = r"[A-Za-z0-9_+/.\-]"
 _FOR = "|".join(FOR).replace("-", "\\-")
 #: What a text must hold for any candidate.
 KEY_ID = r"(AKIA|ASIA)[A-Z0-9]{16}"
-ANY = rf"{KEY_ID}|(?=[A-Za-z_+/.\-]*[0-9]){TOKEN}{{16,}}|(?i:{_FOR})[a-z_]*[\"']?\s*[=:]"
-PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(-----END [A-Z ]*PRIVATE KEY-----|$)"
-TREES, DEPTH, SEED, THRESHOLD = 15, 6, 1, 0.5
+ANY = rf"{KEY_ID}|(?=[A-Za-z_+/.\-]*[0-9]){TOKEN}{{16,}}|(?i:{_FOR})[a-z_]*[\"']?\s*[=:]|-----BEGIN |://[^\s/:@]+:[^\s/@]+@"
+BLOCK = r"-----BEGIN [A-Z ]+-----[\s\S]*?(-----END [A-Z ]+-----|$)"
+TREES, DEPTH, SEED, THRESHOLD = 15, 7, 1, 0.5
 FINDING = "[SECRET]"
 
-FEATURES = "length digits upper lower hex transitions distinct covered prefix said_for assigned said_against slashes dots at_sign numeric uuid test_path".split()
+FEATURES = "length digits upper lower hex transitions distinct covered prefix said_for assigned said_against slashes dots at_sign numeric uuid test_path private".split()
 
 
 def _sql(pattern: str) -> str:
     return "r\"" + pattern.replace('"', "\\x22") + "\""
 
 
-#: Words with a candidate's shape, or after a word for a secret and an assignment sign.
+#: The text's pieces outside blocks. A password in an address is set apart as one.
+_PIECES = f"filter(split(regexp_replace(if(contains(text, '-----BEGIN '), regexp_replace(text, {_sql(BLOCK)}, ' '), text), {_sql('://([^\\s/:@]+):([^\\s/@]+)@')}, '://$1 password: $2 @'), {_sql('[\\x20\\x09-\\x0D\\x22\\x27`{}()<>,;&?|\\[\\]]+')}), x -> x <> '')"
+#: Blocks, and pieces with a candidate's shape or after a word for a secret and an assignment sign.
 _CANDIDATES = f"""
-filter(transform(words, (w, i) -> named_struct(
+concat(
+  if(contains(text, '-----BEGIN '), transform(regexp_extract_all(text, {_sql(BLOCK)}, 0), x -> named_struct('word', x, 'position', -1, 'near', '')), cast(array() as array<struct<word: string, position: int, near: string>>)),
+  filter(transform(words, (w, i) -> named_struct(
     'word', w, 'position', i,
     'near', lower(concat_ws(' ', get(words, i - 3), get(words, i - 2), get(words, i - 1))))),
   c -> (length(c.word) >= 20 and c.word rlike {_sql(KEY_ID)})
     or (length(c.word) >= 16 and c.word rlike {_sql(rf'(?=[A-Za-z_+/.-]*[0-9]){TOKEN}{{16,}}')})
-    or (length(c.word) >= 6 and c.near rlike {_sql(rf'({_FOR})[a-z_]*["]?\s*[=:]+>?$')})
-    or c.word rlike {_sql(rf'(?i)({_FOR})[a-z_]*["]?[=:]+["]?[^=:"]{{6,}}')})
+    or (length(c.word) >= 6 and c.near rlike {_sql(rf'({_FOR})[a-z_]*\s*[=:]+>?$')})
+    or c.word rlike {_sql(rf'(?i)({_FOR})[a-z_]*[=:]+[^=:]{{6,}}')}))
 """
 
 #: The part after an assignment inside the word, without quotes and punctuation at its ends.
@@ -74,6 +81,7 @@ named_struct(
   'at_sign', if(c.word rlike '@|://', 1D, 0D),
   'numeric', if(v rlike {_sql('^[0-9.+/-]+$')}, 1D, 0D),
   'uuid', if(v rlike {_sql('^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$')}, 1D, 0D),
+  'private', if(startswith(v, '-----BEGIN') and v rlike '^-----BEGIN [A-Z ]*PRIVATE', 1D, 0D),
   'test_path', if(lower(path) rlike {_sql('(^|[^a-z])(test|tests|example|examples|fixture|fixtures|mock|sample)([^a-z]|$)')}, 1D, 0D))
 """
 
@@ -85,9 +93,8 @@ def _let(name: str, value: str, body: str) -> str:
 
 def _per_candidate(inner: str) -> str:
     """SQL of an array with ``inner`` (of c, v and f) for each candidate of ``text`` whose value is not empty."""
-    words = r"split(text, r'[\x20\x09-\x0D]+')"
     each = _let("v", _VALUE, f"if(length(v) < 6, null, {_let('f', _FEATURE_SQL, inner)})")
-    found = _let("words", words, f"filter(transform({_CANDIDATES}, c -> {each}), x -> x is not null)")
+    found = _let("words", _PIECES, f"filter(transform({_CANDIDATES}, c -> {each}), x -> x is not null)")
     return f"if(text rlike {_sql(ANY)}, {found}, filter(array({each_null(inner)}), x -> false))"
 
 
@@ -97,37 +104,49 @@ def each_null(inner: str) -> str:
     return _let("c", c, _let("v", "'none'", _let("f", _FEATURE_SQL, inner)))
 
 
-def labelled_findings(spark: SparkSession, rows: int = 2400) -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = 3480) -> DataFrame:
     """Labelled findings by rule: text, path and y (1: a secret). Every kind occurs with several neighbours."""
     h, b = "sha2(concat('s', id), 512)", "translate(base64(unhex(sha2(concat('b', id), 512))), '+/=', 'xyz')"
     up = f"upper({b})"
-    cue = "element_at(array('token =', 'password:', 'api_key =', 'secret:', 'auth_token =', 'access_key:', 'TOKEN =', 'credential ='), cast(1 + (id div 20) % 8 as int))"
+    cue = "element_at(array('token =', 'password:', 'api_key =', 'secret:', 'auth_token =', 'access_key:', 'TOKEN =', 'credential ='), cast(1 + (id div 29) % 8 as int))"
     lead = "element_at(array('the value here', 'and so on', 'of these', 'it was', 'lorem ipsum dolor', 'see also'), cast(1 + (id div 7) % 6 as int))"
-    note = "element_at(array('commit', 'md5', 'checksum:', 'sha1 =', 'revision', 'digest:', 'build', 'hash ='), cast(1 + (id div 20) % 8 as int))"
+    note = "element_at(array('commit', 'md5', 'checksum:', 'sha1 =', 'revision', 'digest:', 'build', 'hash ='), cast(1 + (id div 29) % 8 as int))"
+    line = f"substring({b}, 1, 40)"
     kinds = [
-        (1, f"concat({cue}, ' \"', substring({h}, 1, cast(32 + 8 * ((id div 20) % 3) as int)), '\"')"),
+        (1, f"concat({cue}, ' \"', substring({h}, 1, cast(32 + 8 * ((id div 29) % 3) as int)), '\"')"),
         (1, f"concat({cue}, ' \"', upper(substring({h}, 1, 40)), '\"!!')"),
-        (1, f"concat({cue}, ' ', substring({b}, 1, cast(20 + (id div 20) % 40 as int)))"),
+        (1, f"concat({cue}, ' ', substring({b}, 1, cast(20 + (id div 29) % 40 as int)))"),
         (1, f"concat('AKIA', substring({up}, 1, 16))"),
         (1, f"concat('ghp_', substring({b}, 1, 36))"),
         (1, f"concat('sk-', substring({b}, 1, 40), ',')"),
         (1, f"concat('xoxb-', conv(substring({h}, 1, 9), 16, 10), '-', substring({b}, 1, 24))"),
         (1, f"concat('eyJ', substring({b}, 1, 30), '.', substring({b}, 5, 40), '.', substring({b}, 9, 30))"),
-        (1, f"concat('password=', substring({b}, 1, cast(8 + (id div 20) % 9 as int)))"),
-        (1, f"concat({cue}, ' ', substring({b}, 3, cast(8 + (id div 20) % 6 as int)), '#', substring({h}, 1, 2))"),
+        (1, f"concat('password=', substring({b}, 1, cast(8 + (id div 29) % 9 as int)))"),
+        (1, f"concat({cue}, ' ', substring({b}, 3, cast(8 + (id div 29) % 6 as int)), '#', substring({h}, 1, 2))"),
         (0, f"concat({note}, ' ', substring({h}, 1, 40))"),
-        (0, f"concat({note}, ' ', substring({h}, 1, cast(32 + 32 * ((id div 20) % 2) as int)))"),
+        (0, f"concat({note}, ' ', substring({h}, 1, cast(32 + 32 * ((id div 29) % 2) as int)))"),
         (0, f"concat(substring({h}, 1, 8), '-', substring({h}, 9, 4), '-4', substring({h}, 13, 3), '-a', substring({h}, 17, 3), '-', substring({h}, 21, 12))"),
         (0, f"concat('https://www.example.com/', substring({h}, 1, 6), '/page', id, '/index.html')"),
         (0, "concat('src/main/module', id, '/report_file_', id % 97, '.txt')"),
         (0, "concat('user.name', id, '@mail', id % 9, '.example.com')"),
         (0, f"lpad(conv(substring({h}, 1, 13), 16, 10), 16, '4')"),
-        (0, "concat(element_at(array('documentversion', 'userprofilepage', 'chaptersection', 'thequickupdate', 'productlistview'), cast(1 + (id div 20) % 5 as int)), id)"),
+        (0, "concat(element_at(array('documentversion', 'userprofilepage', 'chaptersection', 'thequickupdate', 'productlistview'), cast(1 + (id div 29) % 5 as int)), id)"),
         (0, "concat('20', 10 + id % 15, '-0', 1 + id % 9, '-1', id % 10, 'T0', id % 10, ':00:0', id % 10, 'Z-', id)"),
-        (0, "concat(element_at(array('key:', 'token:', 'password:', 'login =', 'auth ='), cast(1 + (id div 20) % 5 as int)), ' ', element_at(array('required', 'optional', 'forgotten', 'section', 'response', 'welcome', 'customer'), cast(1 + (id div 100) % 7 as int)))"),
+        (0, "concat(element_at(array('key:', 'token:', 'password:', 'login =', 'auth ='), cast(1 + (id div 29) % 5 as int)), ' ', element_at(array('required', 'optional', 'forgotten', 'section', 'response', 'welcome', 'customer'), cast(1 + (id div 100) % 7 as int)))"),
     ]
-    text = "case id % 20 " + " ".join(f"when {i} then {sql}" for i, (_, sql) in enumerate(kinds)) + " end"
-    y = "case " + " ".join(f"when id % 20 = {i} then {label}" for i, (label, _) in enumerate(kinds)) + " end"
+    kinds += [
+        (1, f"concat('{{\"user\":\"name', id % 7, '\",\"', element_at(array('token', 'api_key', 'password', 'secret'), cast(1 + (id div 29) % 4 as int)), '\":\"', substring({b}, 1, cast(16 + (id div 29) % 20 as int)), '\",\"size\":', id, '}}')"),
+        (1, f"concat('https://api.example.com/v1/list?', element_at(array('key', 'token', 'access_token', 'auth'), cast(1 + (id div 29) % 4 as int)), '=', substring({h}, 1, 32), '&lang=en')"),
+        (1, f"concat('postgres://user', id % 5, ':', substring({b}, 1, cast(9 + (id div 29) % 12 as int)), '@db.example.com/main')"),
+        (1, f"concat('-----BEGIN ', element_at(array('RSA ', '', 'EC '), cast(1 + id % 3 as int)), 'PRIVATE KEY-----\n', {line}, '\n', {line}, '\n-----END PRIVATE KEY-----')"),
+        (0, f"concat('-----BEGIN ', element_at(array('PUBLIC KEY', 'CERTIFICATE'), cast(1 + id % 2 as int)), '-----\n', {line}, '\n-----END CERTIFICATE-----')"),
+        (0, f"concat('{{\"commit\":\"', substring({h}, 1, 40), '\",\"size\":', id, '}}')"),
+        (0, f"concat('https://www.example.com/page', id, '/list?ref=', substring({h}, 1, 8), '&session_view=section', id, 'overview')"),
+        (0, f"concat('item', id, ',', lpad(conv(substring({h}, 1, 13), 16, 10), 16, '5'), ',2019-01-0', 1 + id % 9, ',https://www.example.com/a', id, '/index.html')"),
+        (0, f"concat('user', id % 50, '.name', id % 9, '@mail', id % 7, '.example.org, user', id % 5, '@example.com')"),
+    ]
+    text = "case id % 29 " + " ".join(f"when {i} then {sql}" for i, (_, sql) in enumerate(kinds)) + " end"
+    y = "case " + " ".join(f"when id % 29 = {i} then {label}" for i, (label, _) in enumerate(kinds)) + " end"
     path = "if(id % 11 = 0, 'docs/example.md', concat('src', id % 13))"
     return spark.range(rows).select(F.expr(f"concat({lead}, ' ', {text}, ' ', {lead})").alias("text"), F.expr(path).alias("path"), F.expr(y).alias("y"))
 
@@ -161,22 +180,18 @@ def _scored(docs: DataFrame, path: str | None) -> DataFrame:
 
 
 def findings(docs: DataFrame, path: str | None = "source") -> DataFrame:
-    """Per candidate: doc_id, position (of its word, from 0), finding, score, is_secret. Private key blocks follow with position -1."""
+    """Per candidate: doc_id, position (of its piece, from 0; a block: -1), finding, score, is_secret."""
     scored = _scored(docs.select("doc_id", "text", *[path] * bool(path)), path)
-    keys = F.expr(f"transform(regexp_extract_all(text, {_sql(PEM)}, 0), x -> named_struct('position', -1, 'finding', x, 'score', 1D))")
-    every = F.when(F.col("text").contains("-----BEGIN "), F.concat("scan", keys)).otherwise(F.col("scan"))
-    out = scored.select(F.col("row.doc_id").alias("doc_id"), F.explode(every).alias("x")).select("doc_id", "x.*")
+    out = scored.select(F.col("row.doc_id").alias("doc_id"), F.explode("scan").alias("x")).select("doc_id", "x.*")
     return out.withColumn("is_secret", F.col("score") >= THRESHOLD)
 
 
 def redact(docs: DataFrame, path: str | None = "source") -> DataFrame:
     """docs with every secret replaced by a mark, and n_chars to match where there is such a column; no row goes."""
     scored = _scored(docs, path)
-    secrets = F.expr(f"array_distinct(transform(filter(scan, x -> x.score >= {THRESHOLD}), x -> x.finding))")
-    clean = F.regexp_replace("text", PEM, F.lit(FINDING))
-    clean = F.when(F.col("text").contains("-----BEGIN "), clean).otherwise(F.col("text"))
-    out = scored.withColumn("secrets", secrets).withColumn("clean", F.aggregate("secrets", clean, lambda t, s: F.replace(t, s, F.lit(FINDING))))
-    changed = F.col("clean") != F.col("text")
+    secrets = F.expr(f"array_distinct(transform(filter(scan, x -> x.score >= {THRESHOLD}), x -> x.finding))")  # blocks stand first
+    out = scored.withColumn("secrets", secrets).withColumn("clean", F.aggregate("secrets", F.col("text"), lambda t, s: F.replace(t, s, F.lit(FINDING))))
+    changed = F.size("secrets") > 0
     columns = {c: F.col("row").getField(c) for c in docs.columns}
     columns["text"] = F.when(changed, F.col("clean")).otherwise(columns["text"])
     if "n_chars" in columns:

@@ -26,10 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideline.llm.common import text_bytes, texts, written
-from strideline.llm.components import components
+from strideline.llm.components import components, named
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-BLOCK = 4096
+BLOCK = 2048
 #: (shift, bits, radius) of each segment.
 SEGMENTS = ((42, 22, 1), (21, 21, 1), (0, 21, 0))
 
@@ -160,18 +160,22 @@ def near_groups(docs: DataFrame) -> DataFrame:
     table = written(fingerprints(docs))
     distinct = table.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct.select("fp")))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return table.join(named, "fp").select("doc_id", "fp", "component_id")
+    found = named(distinct.withColumnRenamed("fp", "node").join(roots, "node", "left"))
+    return table.join(found.withColumnRenamed("node", "fp"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_groups) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group of near copies; of rows with one id, one."""
-    kept = written(groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    """The rows of ``docs`` whose id is the smallest of their group of near copies; of rows with one id, one.
+
+    A row without an id counts as one with a larger id than all others, named by its text: it goes if its group has a
+    row with an id, and of a group without any ids one row stays.
+    """
+    unnamed = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("doc_id"), "text")
+    kept = written(groups(rows).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
     # The kept ids grow with the corpus: they are hashed on their side of a shuffle at any size, and texts are never sorted.
-    once = docs.join(kept.where("n = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    if kept.where("n > 1 or doc_id is null").isEmpty():
-        return once.select(docs.columns)
-    twice = docs.join(kept.where("n > 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(twice).unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(docs.columns)
+    once = rows.join(kept.where("n = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select("row.*")
+    if kept.where("n > 1").isEmpty():
+        return once
+    several = rows.join(kept.where("n > 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    return once.unionByName(several.groupBy("doc_id").agg(F.min_by("row", F.xxhash64("text")).alias("row")).select("row.*"))

@@ -83,4 +83,16 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(11) == 0 and ids.count(1) == 1 and 2 not in ids and ids.count(3) == 1 and 4 not in ids
+    assert ids.count(None) == 1  # the null text without an id is a copy of document 3
     assert near_copies.keep_one(cases.none(spark)).count() == 0
+
+
+@pytest.mark.parametrize("keep", [near_copies.keep_one, simhash_dedup.keep_one])
+@pytest.mark.parametrize("twice", [False, True])
+def test_rows_without_an_id(spark, keep, twice):
+    """Copies of a row with an id go, and of copies among themselves one stays, whether or not some id occurs twice."""
+    a, b = cases.prose(300, 1), cases.prose(300, 2)
+    near = " ".join([*b.split()[:-2], "last", "words"])
+    rows = [(1, a), (2, cases.prose(90, 3)), (None, a), (None, a), (None, b), (None, b), (None, near)] + [(2, cases.prose(90, 3))] * twice
+    kept = cases.ordered(keep(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [d for d, _ in kept] == [1, 2, None] and kept[2][1] in (b, near)
