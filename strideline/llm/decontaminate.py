@@ -1,12 +1,14 @@
 """Benchmark decontamination: a BM25 inverted index of test items, queried block-max WAND style by every passage.
 
 An item is cut into units of at most ``UNIT`` words, each with BM25 weights divided by its score for itself, so that a
-passage that holds the whole unit scores 1. Units stand in blocks of ``BLOCK``; for each term the index has the
-largest weight in each block. Every document is cut into overlapping passages of ``STRIDE * SPAN`` words, so
-that some passage holds any unit whole. A passage's sum of block maxima bounds the score of all units of a block: blocks
-below the threshold are skipped for that passage, the units of the others are scored exactly, and all units at or above
-the threshold are retrieved. A retrieved item is verified against the whole document: at least ``OVERLAP`` of the
-five-word shingles of its question (all sentences but the last) and of its answer (the last) must occur there.
+passage that holds the whole unit scores 1. A term has a posting list of units in order, cut into blocks at every
+``BLOCK`` units, with the largest weight in each. Every document is cut into overlapping passages of ``STRIDE * SPAN``
+words, so that some passage holds any unit whole, and each passage is a query. Its sum of block maxima bounds the score
+of all units of a block: blocks below the threshold are passed over (for many passages at once). In the others a cursor
+stands in each posting list; in the order of their units, the first cursors whose block maxima reach the threshold
+together name the pivot; cursors before it move up to it, and it is scored when they have. All units at or above the
+threshold are retrieved. A retrieved item is verified against the whole document: at least ``OVERLAP`` of the five-word
+shingles of its question (all sentences but the last) and of its answer (the last) must occur there.
 
 The index is sent to the executors in parts of at most ``ITEMS`` items, one narrow pass over the texts each, so what is broadcast
 has a fixed bound. Null and empty texts match nothing; items without words are left out. Repeated rows match alike;
@@ -16,6 +18,7 @@ repeated items count each. Extra columns stay in ``without_leaks`` and are not r
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +34,8 @@ from strideline.llm.words import batches, words_of
 UNIT, STRIDE, SPAN, BLOCK = 64, 32, 3, 8
 THRESHOLD, SHINGLE, OVERLAP = 0.6, 5, 0.8
 K1, B = 1.2, 0.75
+#: Bounds are sums of rounded numbers: a block or pivot is passed over only if it is below the threshold by more than this.
+SLACK = 1e-4
 ITEMS, CHUNK = 8192, 1 << 19
 #: Units in one dense part of the index, which bounds the arrays of block maxima.
 PART = 1024
@@ -38,11 +43,16 @@ PART = 1024
 
 @dataclass(frozen=True)
 class Part:
-    """Terms (sorted hashes), block maxima and unit weights (a last row of zeros is for other words), items of units."""
+    """Terms (sorted hashes), block maxima (a last row of zeros is for other words), posting lists, items of units.
+
+    The postings of term t are ``unit`` and ``weight`` from ``list_at[t]`` to ``list_at[t + 1]``.
+    """
 
     terms: np.ndarray
     maxima: np.ndarray
-    weights: np.ndarray
+    list_at: list[int]
+    unit: list[int]
+    weight: list[float]
     item: np.ndarray
 
 
@@ -94,15 +104,57 @@ def build(rows: list[tuple[int, str]]) -> Index:
     for a in range(0, len(units), PART):
         own = units[a : a + PART]
         here = np.unique(np.concatenate(own))
-        weights = np.zeros((len(here) + 1, -(-len(own) // BLOCK) * BLOCK), np.float32)
+        maxima = np.zeros((len(here) + 1, -(-len(own) // BLOCK)), np.float32)
+        lists: list[list[tuple[int, float]]] = [[] for _ in here]
         for j, u in enumerate(own):
             t, tf = np.unique(u, return_counts=True)
             w = idf[np.searchsorted(terms, t)] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(u) / average))
-            weights[np.searchsorted(here, t), j] = w / w.sum()
-        parts.append(Part(here, weights.reshape(len(here) + 1, -1, BLOCK).max(axis=2), weights, np.array(item[a : a + PART])))
+            w = (w / w.sum()).astype(np.float32)
+            at = np.searchsorted(here, t)
+            maxima[at, j // BLOCK] = np.maximum(maxima[at, j // BLOCK], w)
+            for k, x in zip(at.tolist(), w.tolist(), strict=True):
+                lists[k].append((j, x))
+        flat = [x for posting in lists for x in posting]
+        list_at = [0, *np.cumsum([len(x) for x in lists]).tolist()]
+        parts.append(Part(here, maxima, list_at, [j for j, _ in flat], [x for _, x in flat], np.array(item[a : a + PART])))
     return Index(ids, shingles, parts)
 
 
+def wand(part: Part, terms: list[int], block: int, least: float = THRESHOLD) -> Iterator[tuple[int, float]]:
+    """Units of the block that score at least ``least`` for a passage of these terms, and their scores."""
+    end = (block + 1) * BLOCK
+    cursors = []  # [unit, place in the postings, end of the list, block maximum]
+    for t in terms:
+        stop = part.list_at[t + 1]
+        at = bisect_left(part.unit, block * BLOCK, part.list_at[t], stop)
+        if at < stop and part.unit[at] < end:
+            cursors.append([part.unit[at], at, stop, float(part.maxima[t, block])])
+    while cursors:
+        cursors.sort()
+        bound, pivot = 0.0, None
+        for unit, _, _, most in cursors:
+            bound += most
+            if bound >= least - SLACK:
+                pivot = unit
+                break
+        if pivot is None:
+            return
+        if cursors[0][0] == pivot:
+            score = sum(part.weight[at] for unit, at, _, _ in cursors if unit == pivot)
+            if score >= least:
+                yield pivot, score
+            pivot += 1
+        left = []
+        for c in cursors:
+            if c[0] < pivot:
+                c[1] = bisect_left(part.unit, pivot, c[1], c[2])
+                if c[1] == c[2] or part.unit[c[1]] >= end:
+                    continue
+                c[0] = part.unit[c[1]]
+            left.append(c)
+        cursors = left
+
+
 def candidates(part: Part, doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents, items and scores of all passages and units at or above the threshold."""
     place = np.minimum(np.searchsorted(part.terms, word), len(part.terms) - 1)
@@ -115,26 +167,19 @@ def candidates(part: Part, doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarra
     owner, bound = doc[cut], sums.copy()
     for k in range(1, SPAN):
         bound[:-k] += np.where((owner[k:] == owner[:-k])[:, None], sums[k:], 0)
-    passage, block = np.nonzero(bound >= THRESHOLD)
-    if not len(passage):
-        return passage, passage, bound[:0, 0]
+    passage, block = np.nonzero(bound >= THRESHOLD - SLACK)
     ends = np.append(cut, len(doc))
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    edge = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-    for a, b in zip(edge, np.append(edge[1:], len(passage)), strict=True):
-        p = passage[a]
-        last = p + 1
-        while last < len(cut) and last < p + SPAN and owner[last] == owner[p]:
-            last += 1
-        own = np.unique(term[ends[p] : ends[last]])
-        units = (block[a:b, None] * BLOCK + np.arange(BLOCK)).ravel()
-        score = part.weights[own][:, units].sum(axis=0) if b - a > 4 else np.concatenate([part.weights[own, k * BLOCK : (k + 1) * BLOCK].sum(axis=0) for k in block[a:b]])
-        good = np.flatnonzero(score >= THRESHOLD)
-        if len(good):
-            found.append((np.full(len(good), owner[p]), part.item[units[good]], score[good]))
-    if not found:
-        return passage[:0], passage[:0], bound[:0, 0]
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    found: list[tuple[int, int, float]] = []
+    held, own = -1, []
+    for p, k in zip(passage.tolist(), block.tolist(), strict=True):
+        if p != held:
+            last = p + 1
+            while last < len(cut) and last < p + SPAN and owner[last] == owner[p]:
+                last += 1
+            held, own = p, np.unique(term[ends[p] : ends[last]]).tolist()
+            own = own[:-1] if own[-1] == len(part.terms) else own
+        found += [(owner[p], part.item[unit], score) for unit, score in wand(part, own, k)]
+    return tuple(np.array(x, t) for x, t in zip(zip(*found, strict=True) if found else ((), (), ()), (np.int64, np.int64, float), strict=True))
 
 
 def matches(index: Index, docs: list[str]) -> Iterator[tuple[int, int, float, float, float]]:

@@ -7,12 +7,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from llm import cases
 from strideline.llm import decontaminate, quality_rules
 from strideline.llm.common import documents
 from strideline.llm.queries import benchmark
-from strideline.llm.windows import spans_hash
-from strideline.llm.words import words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -127,38 +126,68 @@ def test_native_plans(spark, sf):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
 
 
+def plain_words(text: str | None) -> list[str]:
+    return re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (text or "").lower())
+
+
+def halves(text: str) -> tuple[str, str]:
+    """The item without its last sentence, and its last sentence; one sentence alone is cut in the middle."""
+    ends = [m.end() for m in re.finditer(r"[.?!](?=\s)", text.strip())]
+    parts = [text.strip()[a:b] for a, b in zip([0, *ends], [*ends, None], strict=True)]
+    parts = [p for p in parts if re.search(r"\w", p)]
+    if len(parts) > 1:
+        return " ".join(parts[:-1]), parts[-1]
+    half = len(text.split()) // 2
+    return " ".join(text.split()[:half]), " ".join(text.split()[half:])
+
+
 def leaks_brute(docs: list[tuple], items: list[tuple]) -> set[tuple]:
-    """All pairs, every passage and unit scored, no bounds."""
-    rows = [(i, t) for i, t in items if len(words_of([t or ""])[1])]
-    units = [(i, words_of([t])[1][k : k + 64]) for i, t in rows for k in range(0, len(words_of([t])[1]), 64)]
-    df = Counter(w for _, u in units for w in set(u.tolist()))
+    """All pairs, every passage and unit scored with words as text: no index, no bounds, no hashes."""
+    rows = [(i, t) for i, t in items if plain_words(t)]
+    units = [(i, plain_words(t)[k : k + 64]) for i, t in rows for k in range(0, len(plain_words(t)), 64)]
+    df = Counter(w for _, u in units for w in set(u))
     average = sum(len(u) for _, u in units) / len(units)
     weights = []
     for i, u in units:
-        w = {t: math.log(1 + (len(units) - df[t] + 0.5) / (df[t] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(u) / average)) for t, n in Counter(u.tolist()).items()}
+        w = {t: math.log(1 + (len(units) - df[t] + 0.5) / (df[t] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(u) / average)) for t, n in Counter(u).items()}
         weights.append((i, {t: x / sum(w.values()) for t, x in w.items()}))
 
-    def five(word: np.ndarray) -> set[int]:
-        n = np.arange(max(1, len(word) - 4)) if len(word) else np.zeros(0, int)
-        return set(spans_hash(word, n, np.minimum(n + 5, len(word))).tolist())
+    def five(word: list[str]) -> set[tuple]:
+        return {tuple(word[k : k + 5]) for k in range(max(1, len(word) - 4))} if word else set()
 
     sides = {}
     for i, t in rows:
-        q, a = (words_of([s])[1] for s in decontaminate.question_and_answer(t))
-        whole = words_of([t])[1]
-        sides[i] = (five(q), five(a)) if min(len(q), len(a)) >= 5 else (five(whole), five(whole))
+        q, a = map(plain_words, halves(t))
+        sides[i] = (five(q), five(a)) if min(len(q), len(a)) >= 5 else (five(plain_words(t)),) * 2
     out = set()
     for d, text in docs:
-        word = words_of([text or ""])[1]
+        word = plain_words(text)
         own = five(word)
         for k in range(0, len(word), 32):
-            here = set(word[k : k + 96].tolist())
+            here = set(word[k : k + 96])
             for i, w in weights:
                 if sum(x for t, x in w.items() if t in here) >= 0.6 and all(len(s & own) >= 0.8 * len(s) for s in sides[i]):
                     out.add((d, i))
     return out
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_pivots_retrieve_every_unit_at_the_threshold(seed):
+    """Random items over few words: all units at several thresholds, with the scores of a plain sum."""
+    rng = np.random.default_rng(seed)
+    index = decontaminate.build([(k, " ".join(f"w{x}" for x in rng.integers(0, 60, rng.integers(1, 40)))) for k in range(50)])
+    part = index.parts[0]
+    for _ in range(40):
+        terms = np.unique(rng.integers(0, len(part.terms), 20)).tolist()
+        score = Counter()
+        for t in terms:
+            for at in range(part.list_at[t], part.list_at[t + 1]):
+                score[part.unit[at]] += part.weight[at]
+        for least in (0.1, 0.3, 0.6):
+            found = {u: s for b in range(part.maxima.shape[1]) for u, s in decontaminate.wand(part, terms, b, least)}
+            assert found == pytest.approx({u: s for u, s in score.items() if s >= least})
+
+
 def test_leaks_of_the_corpus(spark, sf):
     docs, items = documents(spark, sf), benchmark(spark, sf)
     mine = decontaminate.leaks(docs, items).collect()
