@@ -79,23 +79,35 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> tuple[n
     return np.append(seen, -1), weights(np.arange(len(seen) + 1))
 
 
+def hashed(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """shard, doc_id, h, text, y to shard, doc_id, h, y and the coordinates of the text."""
+    for batch in batches_:
+        column = batch.column("text").to_pylist()
+        for i, j in batches(column, CHUNK):
+            doc, at = features(column[i:j])
+            cuts = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(at.astype(np.int32)))
+            part = batch.slice(i, j - i)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("shard", "doc_id", "h", "y")), lists], ["shard", "doc_id", "h", "y", "at"])
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
-    """docs: doc_id, text. Sorted coordinates with a weight, those weights, and the bias."""
+    """docs: doc_id, text. Sorted coordinates with a weight, those weights, and the bias.
+
+    Texts become coordinates where they are read, so a shard holds integers and no texts.
+    """
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "text"])
-        rows, y = [], pdf["y"].to_numpy(float)
-        for i in range(0, len(pdf), 200):
-            doc, at = features(pdf["text"].iloc[i : i + 200].tolist())
-            rows += np.split(at.astype(np.int32), np.searchsorted(doc, np.arange(1, len(pdf.iloc[i : i + 200]))))
-        at, w = ftrl(rows, y)
+        pdf = pdf.sort_values(["doc_id", "h"])
+        at, w = ftrl([np.asarray(x, np.int32) for x in pdf["at"]], pdf["y"].to_numpy(float))
         seen = w != 0
         return pd.DataFrame({"at": at[seen], "w": w[seen]})
 
     sample = training_sample(labels, "toxic", FOLDS, FOLD, most)
     shards = max(1, round(min(most, sample.count()) / SHARD))
-    rows = sampled(docs, sample).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)))
-    mixed = rows.groupBy("shard").applyInPandas(fit, "at long, w double").groupBy("at").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("k"))
+    rows = sampled(docs, sample).select(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)).alias("shard"), "doc_id", F.xxhash64("text").alias("h"), "y", "text")
+    ready = rows.mapInArrow(hashed, "shard long, doc_id long, h long, y int, at array<int>")
+    mixed = ready.groupBy("shard").applyInPandas(fit, "at long, w double").groupBy("at").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("k"))
     found = mixed.toPandas()  # at most 2**BITS rows, and few in practice for L1
     bias = found.loc[found["at"] == -1]
     b = float((bias["w"] / bias["k"]).sum())
@@ -106,9 +118,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.nd
 def score(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
     own = texts(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    at, w, bias = train(own, labels, most)
+    sent = docs.sparkSession.sparkContext.broadcast(train(own, labels, most))
 
     def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, w, bias = sent.value
         dense = np.zeros(1 << BITS, np.float32)
         dense[at] = w
         for batch in rows:
