@@ -28,33 +28,37 @@ def residual_stds(frame: DataFrame, strength: float = STRENGTH) -> DataFrame:
     )
 
 
+KEPT = ["game_id", "game_date", "season", "home", "away", "margin", "total", "home_win", "home_close", "away_close"]
+#: Columns of a frame that opportunities and back-tests use.
+NEEDED = [*KEPT, "home_open", "away_open", "home_line", "total_line", "rating_diff", "predicted_margin", "predicted_total", "naive_total"]
+
+
 def opportunities(frame: DataFrame, stds: DataFrame, price: str = "close", strength: float = STRENGTH) -> DataFrame:
     """Zero, two, four or six rows per game: each side of each market that has prices, with its edge, stake and confidence.
 
-    ``stds`` is one row, so it is broadcast.
+    Probabilities, then what follows from them, are columns of projections of their own: each is computed once, and no
+    expression holds another's polynomial. ``stds`` is one row, so it is broadcast.
     """
-    g = frame.crossJoin(F.broadcast(stds))
-    elo = F.col("rating_diff") / strength
-
-    def market(name: str, sides: tuple[str, str], line: Column | None, a: Column, b: Column, one: Column, two: Column) -> list[Column]:
-        fair, probability = odds.devig(a, b), odds.blend(one, two)
-        confidence = odds.confidence_tier(one, two)
-        there = fair[0].isNotNull() if line is None else fair[0].isNotNull() & line.isNotNull()
-        rows = []
-        for side, p, f, d, at in ((sides[0], probability, fair[0], a, line), (sides[1], 1 - probability, fair[1], b, -line if name == "spread" else line)):
-            at = F.lit(None).cast("double") if at is None else at
-            rows.append(F.when(there, F.struct(F.lit(name).alias("market"), F.lit(side).alias("side"), at.alias("line"), p.alias("model_prob"), f.alias("fair_prob"), d.alias("price"), odds.edge_over_fair(p, f).alias("edge_pct"), odds.expected_value(p, d).alias("ev"), odds.kelly(p, d).alias("kelly"), confidence.alias("confidence"))))
-        return rows
-
-    flat = F.lit(FLAT)
-    zero = F.lit(0.0)
-    every = [
-        *market("moneyline", ("home", "away"), None, F.col(f"home_{price}"), F.col(f"away_{price}"), odds.cover_prob(elo, "elo_margin_std", zero), odds.cover_prob("predicted_margin", "ml_margin_std", zero)),
-        *market("spread", ("home", "away"), F.col("home_line"), flat, flat, odds.cover_prob(elo, "elo_margin_std", "home_line"), odds.cover_prob("predicted_margin", "ml_margin_std", "home_line")),
-        *market("total", ("over", "under"), F.col("total_line"), flat, flat, odds.over_prob("predicted_total", "ml_total_std", "total_line"), odds.over_prob("naive_total", "naive_total_std", "total_line")),
-    ]
-    keep = ["game_id", "game_date", "season", "home", "away", "margin", "total", "home_win", "home_close", "away_close"]
-    return g.select(*keep, F.explode(F.filter(F.array(*every), lambda x: x.isNotNull())).alias("x")).select(*keep, "x.*")
+    elo, zero, flat = F.col("rating_diff") / strength, F.lit(0.0), F.lit(FLAT)
+    chances = {
+        "moneyline": (odds.cover_prob(elo, "elo_margin_std", zero), odds.cover_prob("predicted_margin", "ml_margin_std", zero)),
+        "spread": (odds.cover_prob(elo, "elo_margin_std", "home_line"), odds.cover_prob("predicted_margin", "ml_margin_std", "home_line")),
+        "total": (odds.over_prob("predicted_total", "ml_total_std", "total_line"), odds.over_prob("naive_total", "naive_total_std", "total_line")),
+    }
+    prices = {"moneyline": (F.col(f"home_{price}"), F.col(f"away_{price}")), "spread": (flat, flat), "total": (flat, flat)}
+    sides = {"moneyline": ("home", "away"), "spread": ("home", "away"), "total": ("over", "under")}
+    lines = {"moneyline": (F.lit(None).cast("double"),) * 2, "spread": (F.col("home_line"), -F.col("home_line")), "total": (F.col("total_line"),) * 2}
+    g = frame.crossJoin(F.broadcast(stds)).select(*frame.columns, *[p.alias(f"_{m}{i}") for m, both in chances.items() for i, p in enumerate(both)])
+    every = []
+    for m in chances:
+        fair = odds.devig(*prices[m])
+        there = fair[0].isNotNull() if m == "moneyline" else fair[0].isNotNull() & lines[m][0].isNotNull()
+        one, two = F.col(f"_{m}0"), F.col(f"_{m}1")
+        for i in (0, 1):
+            p = odds.blend(one, two) if i == 0 else 1 - odds.blend(one, two)
+            every.append(F.when(there, F.struct(F.lit(m).alias("market"), F.lit(sides[m][i]).alias("side"), lines[m][i].alias("line"), p.alias("model_prob"), fair[i].alias("fair_prob"), prices[m][i].alias("price"), odds.confidence_tier(one, two).alias("confidence"))))
+    rows = g.select(*KEPT, F.explode(F.array_compact(F.array(*every))).alias("x")).select(*KEPT, "x.*")
+    return rows.select(*KEPT, "market", "side", "line", "model_prob", "fair_prob", "price", odds.edge_over_fair("model_prob", "fair_prob").alias("edge_pct"), odds.expected_value(F.col("model_prob"), F.col("price")).alias("ev"), odds.kelly(F.col("model_prob"), F.col("price")).alias("kelly"), "confidence")
 
 
 def settled(bets: DataFrame) -> DataFrame:
@@ -95,18 +99,35 @@ def summaries(bets: DataFrame) -> DataFrame:
     return bets.groupingSets([[], [m], [m, b], [m, s], [y]], m, b, s, y).agg(*summary_columns())
 
 
+#: Game days in a chunk of a running sum.
+DAYS = 30
+
+
+def running(bets: DataFrame, by: str, **values: Column) -> DataFrame:
+    """Running sums of ``values`` in the order of bets, by ``by``: sums within chunks of days plus the sums of earlier chunks.
+
+    The chunks of a season are sorted apart; only their totals, one row each, stand in one window.
+    """
+    order, chunk = ("game_date", "game_id", "market", "side"), F.floor(F.unix_date("game_date") / DAYS)
+    rows = bets.withColumns({f"_{n}": v for n, v in values.items()}).withColumn("_chunk", chunk)
+    totals = rows.groupBy(by, "_chunk").agg(*[F.sum(f"_{n}").alias(f"_t_{n}") for n in values])
+    earlier = Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(by, "_chunk", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in values])
+    within = Window.partitionBy(by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.select(*bets.columns, "_chunk", *[F.sum(f"_{n}").over(within).alias(f"_s_{n}") for n in values])
+    return summed.join(base, [by, "_chunk"]).select(*[summed[c] for c in bets.columns], *[(F.col(f"_b_{n}") + F.col(f"_s_{n}")).alias(n) for n in values])
+
+
 def kelly_curve(bets: DataFrame, start: float = 100.0, by: str = "season") -> DataFrame:
     """Bankroll after each bet under compounding stakes: a running sum of log growth, so no fold is needed."""
     stake = F.col("kelly")
     growth = F.when(F.col("result") == 1, 1 + stake * (F.col("price") - 1)).when(F.col("result") == -1, 1 - stake).otherwise(1.0)
-    w = Window.partitionBy(by).orderBy("game_date", "game_id", "market", "side").rowsBetween(Window.unboundedPreceding, 0)
-    return bets.withColumn("bankroll", start * F.exp(F.sum(F.ln(growth)).over(w)))
+    return running(bets, by, log_growth=F.ln(growth)).withColumn("bankroll", start * F.exp("log_growth")).drop("log_growth")
 
 
 def flat_curve(bets: DataFrame, by: str = "season") -> DataFrame:
     """Cumulative profit and return at flat stakes."""
-    w = Window.partitionBy(by).orderBy("game_date", "game_id", "market", "side").rowsBetween(Window.unboundedPreceding, 0)
-    return bets.withColumn("profit_to_date", F.sum("profit").over(w)).withColumn("roi_to_date", F.sum("profit").over(w) / F.count(F.lit(1)).over(w) * 100)
+    return running(bets, by, profit_to_date=F.col("profit"), bets_to_date=F.lit(1)).withColumn("roi_to_date", F.col("profit_to_date") / F.col("bets_to_date") * 100)
 
 
 def sweep(opps: DataFrame, edges: tuple[float, ...] = (0.0, 1.0, 2.0, 3.0, 5.0, 8.0)) -> DataFrame:

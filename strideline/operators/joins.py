@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideline.sources.scratch import written
+
 
 def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], left_id: str, left_day: str, right_id: str, right_day: str, tolerance: int = 1) -> DataFrame:
     """Each left row with the nearest right row of the same keys within ``tolerance`` days; a tie goes to the earlier, then to the smaller id.
@@ -36,14 +38,23 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], at: str, val
 
 
 def band_match(left: DataFrame, right: DataFrame, by: list[str], left_id: str, left_day: str, right_id: str, right_day: str, ahead: int = 1) -> DataFrame:
-    """Greedy one-to-one match within 0..ahead days after the left day: closest first, each row used once.
+    """Greedy one-to-one match within 0..ahead days after the left day: left rows in order of day and id each take the
+    closest right row (then the smaller id) that no earlier one took.
 
-    Where a (keys, day) holds one candidate on each side this is the greedy order; ties go to the smaller ids.
+    In rounds: every left row asks for its best right row, a right row keeps the earliest that asks, and all later left
+    rows lose it for good and ask for their next. Rounds end when nobody loses any; pairs shrink in each.
     """
-    near = right.withColumn("_delta", F.explode(F.sequence(F.lit(0), F.lit(ahead)))).withColumn("_day", F.date_sub(right_day, F.col("_delta")))
-    found = left.withColumn("_day", F.col(left_day)).join(near, [*by, "_day"]).drop("_day")
-    first = found.withColumn("_r", F.row_number().over(Window.partitionBy(left_id).orderBy("_delta", right_id))).where("_r = 1").drop("_r")
-    return one_to_one(first, right_id, "_delta", left_id).withColumnRenamed("_delta", "delta")
+    near = right.withColumn("delta", F.explode(F.sequence(F.lit(0), F.lit(ahead)))).withColumn("_day", F.date_sub(right_day, F.col("delta")))
+    pairs = written(left.withColumn("_day", F.col(left_day)).join(near, [*by, "_day"]).drop("_day"))
+    order = F.struct(left_day, left_id)
+    choice = F.row_number().over(Window.partitionBy(left_id).orderBy("delta", right_id))
+    while True:
+        asked = pairs.withColumn("_k", choice)
+        first = F.min(F.when(F.col("_k") == 1, order)).over(Window.partitionBy(right_id))
+        marked = written(asked.withColumn("_lost", F.coalesce(order > first, F.lit(False))))
+        if marked.where("_lost").isEmpty():
+            return marked.where("_k = 1").drop("_k", "_lost")
+        pairs = marked.where("not _lost").drop("_k", "_lost")
 
 
 def valid_range(left: DataFrame, ranges: DataFrame, key: str, at: str, low: str, high: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,3 +66,13 @@ def upcoming(games: DataFrame, form_now: DataFrame, ratings_now: DataFrame, neut
         rating = ratings_now.select(F.col("team").alias(side), F.col("rating").alias(f"{side}_rating"))
         out = out.join(team, side, "left").join(rating, side, "left").withColumn(f"{side}_rating", F.coalesce(f"{side}_rating", F.lit(neutral_rating)))
     return filled(out)
+
+
+def matchups(games: DataFrame, form_now: DataFrame, ratings_now: DataFrame, final: PipelineModel, stds: DataFrame, neutral_rating: float = 1500.0) -> DataFrame:
+    """Opportunities of games to come: their features as of now, the final models' predictions, and quoted prices and lines."""
+    rows = upcoming(games, form_now, ratings_now, neutral_rating)
+    rows = rows.withColumns({f: F.coalesce(F.col(f), F.lit(0)) if f in rows.columns else F.lit(0 if f.endswith("streak") else 7) for f in FEATURES})
+    naive = (F.col("home_pf10") + F.col("away_pa10") + F.col("away_pf10") + F.col("home_pa10")) / 2
+    scored = final.transform(rows).withColumns({"rating_diff": F.col("home_rating") - F.col("away_rating"), "naive_total": naive})
+    unknown = {c: F.lit(None).cast("double") for c in betting.KEPT if c not in scored.columns}
+    return betting.opportunities(scored.withColumns(unknown), stds)

@@ -108,9 +108,9 @@ def local_night(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("tick_id", hour.alias("local_hour"), (hour >= 17).alias("is_night"))
 
 
-@query("select o_orderkey as game_id, o_orderpriority[1:1] as grade, try_cast(o_orderpriority[1:1] as double) as grade_number, try_cast(o_orderpriority as double) as bad, upper(trim(o_orderstatus)) = 'F' as is_final, nullif(cast(o_orderkey % 5 as double), 0) as nonzero from orders where o_custkey is not null and o_orderstatus in ('F', 'O') and o_orderkey between 10 and 100000")
+@query("select o_orderkey as game_id, o_orderpriority[1:1] as grade, try_cast(o_orderpriority[1:1] as double) as grade_number, try_cast(o_orderpriority as double) as bad, upper(trim(o_orderstatus)) = 'F' as is_final, nullif(cast(o_orderkey % 5 as double), 0) as nonzero from orders where o_custkey is not null and o_orderstatus in ('F', 'O') and o_totalprice between 1000 and 400000")
 def cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = tables.table(spark, sf_dir, "orders").na.drop(subset=["o_custkey"]).where(F.col("o_orderstatus").isin("F", "O") & F.col("o_orderkey").between(10, 100000))
+    o = tables.table(spark, sf_dir, "orders").na.drop(subset=["o_custkey"]).where(F.col("o_orderstatus").isin("F", "O") & F.col("o_totalprice").between(1000, 400000))
     grade = F.substring("o_orderpriority", 1, 1)
     return o.select(F.col("o_orderkey").alias("game_id"), grade.alias("grade"), rules.number(grade).alias("grade_number"), rules.number(F.col("o_orderpriority")).alias("bad"), (F.upper(F.trim("o_orderstatus")) == "F").alias("is_final"), rules.zero_as_null((F.col("o_orderkey") % 5).cast("double")).alias("nonzero"))
 
@@ -182,10 +182,11 @@ def calendar_window_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return form.calendar_sum(player_days(spark, sf_dir), ["player_id"], "day", "minutes", 3, "minutes3").select("player_id", "day", "minutes3")
 
 
-@query(with_(BASE, "d as (select venue_id, day, count(*) as n from box where venue_id < 50 group by all), s as (select venue_id, unnest(generate_series(min(day), max(day), interval 1 day))::date as day from d group by venue_id)", "select s.venue_id, s.day, coalesce(d.n, 0) as n from s left join d on s.venue_id = d.venue_id and s.day = d.day"))
+@query(with_(BASE, "d as (select venue_id, day, count(*) as n from box group by all), s as (select venue_id, unnest(generate_series(min(day), max(day), interval 1 day))::date as day from d group by venue_id)", "select s.venue_id, count(*) as days, count(*) filter (d.n is null) as empty_days, cast(sum(coalesce(d.n, 0)) as bigint) as n, max(coalesce(d.n, 0)) as most from s left join d on s.venue_id = d.venue_id and s.day = d.day group by 1"))
 def densified_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.box(spark, sf_dir).where("venue_id < 50").groupBy("venue_id", "day").agg(F.count(F.lit(1)).alias("n"))
-    return form.densified(rows, ["venue_id"], "day", "n")
+    rows = tables.box(spark, sf_dir).groupBy("venue_id", "day").agg(F.count(F.lit(1)).alias("n"))
+    every = form.densified(rows, ["venue_id"], "day", "n")
+    return every.groupBy("venue_id").agg(F.count(F.lit(1)).alias("days"), F.count_if(F.col("n") == 0).alias("empty_days"), F.sum("n").alias("n"), F.max("n").alias("most"))
 
 
 @query(with_(LOG, f"select game_id, team, is_home, round(avg(won) over (partition by team, season order by game_date, is_home desc, game_id rows between unbounded preceding and 1 preceding), 6) as win_pct from log"))

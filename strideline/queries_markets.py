@@ -63,10 +63,14 @@ def asof_backward_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.asof_backward(g, right, ["home"], "game_date", ["right_id"]).select("game_id", "right_id")
 
 
-BAND = "f as (select * from (select *, cast(right_date - game_date as int) as delta, row_number() over (partition by game_id order by right_date - game_date, right_id) as k from l join r on l.home = r.home and right_date between game_date and game_date + 1) where k = 1)"
+BAND = """near as (select game_id, right_id, cast(right_date - game_date as int) as delta, dense_rank() over (order by game_date, game_id) as ord from l join r on l.home = r.home and right_date between game_date and game_date + 1),
+rounds as (select *, 0 as round from near union all
+ select game_id, right_id, delta, ord, round + 1 from (select *, sum(cast(lost as int)) over () as losses from (
+  select *, coalesce(ord > min(case when k = 1 then ord end) over (partition by right_id), false) as lost from (select *, row_number() over (partition by game_id order by delta, right_id) as k from rounds)))
+ where losses > 0 and not lost)"""
 
 
-@query(with_(BASE, PAIRED, BAND, "select game_id, right_id, delta from (select *, row_number() over (partition by right_id order by delta, game_id) as j from f) where j = 1"))
+@query(with_("recursive " + BASE, PAIRED, BAND, "select game_id, right_id, delta from (select *, row_number() over (partition by game_id order by delta, right_id) as k from rounds where round = (select max(round) from rounds)) where k = 1"))
 def band_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = _pairs(spark, sf_dir)
     return joins.band_match(left, right, ["home"], "game_id", "game_date", "right_id", "right_date").select("game_id", "right_id", "delta")
@@ -248,7 +252,7 @@ def daily_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GOOD = "good as (select * exclude (edge_pct), edge_pct as edge, round(edge_pct, 9) as edge_pct from opps where edge_pct >= 3 and confidence in ('Medium', 'High')), best as (select * from (select *, row_number() over (partition by game_id order by edge_pct desc, market, side) as k from good) where k = 1)"
-POOL = "pool as (select * from (select *, row_number() over (partition by game_date order by edge_pct desc, game_id) as rank from best) where rank <= 8)"
+POOL = "pool as (select *, row_number() over (partition by game_date order by edge_pct desc, game_id) as rank from best)"
 PAIR = "pairs as (select a.game_date, a.game_id as g1, b.game_id as g2, a.price * b.price as odds, a.model_prob * b.model_prob as p, a.fair_prob * b.fair_prob as f, [a.side, b.side] as sides, [a.market, b.market] as markets from pool a join pool b on a.game_date = b.game_date and a.rank < b.rank)"
 
 
@@ -270,20 +274,18 @@ THEME = """case when len(list_distinct(sides)) = 1 and len(list_distinct(markets
 
 @query(with_(OPPS, GOOD, POOL, PAIR, f"select g1, g2, round(odds, 6) as combined_odds, round(p, 6) as combined_prob, round((p - f) * 100, 6) as combined_edge, round(p * (odds - 1) - (1 - p), 6) as combined_ev, round(greatest(0::double, ((odds - 1) * p - (1 - p)) / (odds - 1)) * 0.25, 6) as combined_kelly, {THEME} as theme from pairs"))
 def parlay_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = parlays.pool(_rounded_opps(spark, sf_dir), "game_date")
-    out = parlays.priced(parlays.combinations(pool, "game_date", (2,)))
+    out = parlays.priced(parlays.pairs(parlays.pool(_rounded_opps(spark, sf_dir), "game_date"), "game_date"))
     return rounded(out.select(F.col("legs")[0]["game_id"].alias("g1"), F.col("legs")[1]["game_id"].alias("g2"), "combined_odds", "combined_prob", "combined_edge", "combined_ev", "combined_kelly", "theme"))
 
 
-TRIPLE = """combos as (
- select game_date, 2 as leg_count, list_sort([g1, g2]) as ids, odds, (p - f) * 100 as edge from pairs union all
- select a.game_date, 3, list_sort([a.game_id, b.game_id, c.game_id]), a.price * b.price * c.price, (a.model_prob * b.model_prob * c.model_prob - a.fair_prob * b.fair_prob * c.fair_prob) * 100
- from pool a join pool b on a.game_date = b.game_date and a.rank < b.rank join pool c on a.game_date = c.game_date and b.rank < c.rank),
-named as (select *, round(edge, 9) as e, array_to_string(ids, '-') as signature from combos),
+#: All sets of two to five legs of a day, grown leg by leg.
+SETS = """grown as (select game_date, 1 as leg_count, rank as last, [game_id] as ids, price as odds, model_prob as p, fair_prob as f from pool union all
+ select g.game_date, leg_count + 1, b.rank, list_append(ids, b.game_id), odds * b.price, p * b.model_prob, f * b.fair_prob from grown g join pool b on g.game_date = b.game_date and b.rank > g.last where leg_count < 5),
+named as (select game_date, leg_count, odds, (p - f) * 100 as edge, round((p - f) * 100, 9) as e, array_to_string(list_sort(ids), '-') as signature from grown where leg_count > 1),
 cut as (select *, row_number() over (partition by game_date order by e desc, signature) as r from named)"""
 
 
-@query(with_(OPPS, GOOD, POOL, PAIR, TRIPLE, "select game_date, leg_count, cast(place as int) as place, signature, round(odds, 4) as combined_odds, round(edge, 4) as combined_edge from (select *, row_number() over (partition by game_date, leg_count order by e desc, signature) as place from cut where r <= 500) where place <= 3"))
+@query(with_("recursive " + OPPS, GOOD, POOL, SETS, "select game_date, leg_count, cast(place as int) as place, signature, round(odds, 4) as combined_odds, round(edge, 4) as combined_edge from (select *, row_number() over (partition by game_date, leg_count order by e desc, signature) as place from cut where r <= 500) where place <= 3"))
 def parlay_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = parlays.suggested(_rounded_opps(spark, sf_dir), "game_date")
     return best.select("game_date", "leg_count", "place", "signature", F.round("combined_odds", 4).alias("combined_odds"), F.round("combined_edge", 4).alias("combined_edge"))

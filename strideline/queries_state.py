@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from strideline.operators import log, models, ratings, research, store
 from strideline.plans import build, serving
 from strideline.registry import bets, frame, query, rounded, the_log
 from strideline.sources import readers, sinks, tables
+from strideline.sources.scratch import new_folder, written
 from strideline.sql import BASE, BETS, LOG, PREDICTED, with_
 from strideline.streaming import ticks as streams
 
@@ -106,9 +105,9 @@ def holdout_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(research.holdout_report(frame(spark, sf_dir), {"margin": ("margin", "predicted_margin"), "total": ("total", "predicted_total")}))
 
 
-@query(with_(LOG, """select game_id, '{"game_id":' || game_id || ',"pf":' || pf || ',"covered":' || coalesce(covered, 0.0) || '}' as record from log where is_home and game_id % 50 = 7"""))
+@query(with_(LOG, """select game_id, '{"game_id":' || game_id || ',"pf":' || pf || ',"covered":' || coalesce(covered, 0.0) || '}' as record from log where is_home"""))
 def api_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = the_log(spark, sf_dir).where("is_home and game_id % 50 = 7").select("game_id", "pf", "covered")
+    rows = the_log(spark, sf_dir).where("is_home").select("game_id", "pf", "covered")
     return sinks.records(rows).select(F.from_json("record", "game_id long")["game_id"].alias("game_id"), "record")
 
 
@@ -151,22 +150,46 @@ def upcoming_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(build.upcoming(games, made["current_form"], made["final_ratings"]).select("home", "away", *[f"{s}_{c}" for s in ("home", "away") for c in ("pf10", "pa10", "won10", "ats10", "rating")]))
 
 
-QUICK = models.Spec(iterations=5)
+def _model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature rows without gaps, with what scoring needs."""
+    rows = build.filled(build.features(tables.games(spark, sf_dir)))
+    return written(rows.select("game_id", "season", "margin", "total", *build.FEATURES))
 
 
 @query()
 def walk_forward_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = build.filled(build.features(tables.games(spark, sf_dir)))
-    out = models.walk_forward(rows, build.FEATURES, ("margin",), QUICK)
-    return rounded(out.select("game_id", "season", "margin", "predicted_margin"))
+    out = models.walk_forward(_model_frame(spark, sf_dir), build.FEATURES)
+    return rounded(out.select("game_id", "season", "margin", "predicted_margin", "total", "predicted_total"))
 
 
 @query()
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = build.filled(build.features(tables.games(spark, sf_dir)))
-    model = models.fit(rows.where("season < 1999"), build.FEATURES[:4], ("margin",), QUICK)
-    found = models.permutation_importance(model, rows.where("season = 1999"), build.FEATURES[:4], "margin", repeats=1)
-    return spark.createDataFrame(found, "feature string, loss double")
+    """Of the final models, fitted on all rows."""
+    rows, targets = _model_frame(spark, sf_dir), ("margin", "total")
+    found = models.permutation_importance(models.fit_final(rows, build.FEATURES, targets), rows, build.FEATURES, targets, "game_id")
+    return spark.createDataFrame(found, "target string, feature string, loss double")
+
+
+@query()
+def score_matchups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Games to come: features as of now, the final models' predictions, and the opportunities at quoted prices."""
+    games = tables.games(spark, sf_dir)
+    made, rows = build.build(games, "nfl"), _model_frame(spark, sf_dir)
+    final = models.fit_final(rows, build.FEATURES, ("margin", "total"))
+    nations = tables.table(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    asked = nations.select(key.cast("long").alias("game_id"), key.alias("home"), ((key + 7) % 26).alias("away"), ((key % 13) - 6.5).alias("home_line"), (key % 9 + 30.5).alias("total_line"), (1.5 + key % 10 / F.lit(10)).alias("home_close"), (2.9 - key % 10 / F.lit(10)).alias("away_close"))
+    scored = build.matchups(asked, made["current_form"], made["final_ratings"], final, written(made["residuals"]))
+    return rounded(scored.select("game_id", "home", "away", "market", "side", "line", "model_prob", "fair_prob", "price", "edge_pct", "kelly", "confidence"))
+
+
+@query()
+def feature_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walk-forward with and without the streaks, and the verdict of the gate on adding them."""
+    rows = _model_frame(spark, sf_dir)
+    without = [f for f in build.FEATURES if not f.endswith("streak")]
+    fits = [research.fit_row(models.walk_forward(rows, f)) for f in (without, build.FEATURES)]
+    return research.evaluated(research.side_by_side(*fits), tests=1)
 
 
 # ---------------------------------------------------------------- text sources and streams
@@ -187,21 +210,15 @@ RECORDS = 1000
 
 @query()
 def tagged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{_shared(spark)}/tagged"
+    path = f"{new_folder(spark)}/tagged"
     _lines(spark, sf_dir).write.option("maxRecordsPerFile", RECORDS).text(path)
     return readers.starters(readers.tagged_lines(spark, path)).select("record_id", "home_starter", "away_starter", "home_er", "away_er")
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/_runs/{uuid.uuid4().hex}"
-
-
 @query(with_(BASE, "select game_id, market_side, round(arg_min(price, ts), 6) as open, round(arg_max(price, ts), 6) as close from ticks group by all"))
 def stream_open_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ticks through the stateful stream, file by file, merged by key."""
-    folder = _shared(spark)
+    folder = new_folder(spark)
     tables.ticks(spark, sf_dir).select("tick_id", "game_id", "ts", "market_side", "price").repartitionByRange(3, "ts").write.parquet(f"{folder}/in")
     stream = streams.open_close(streams.source(spark, f"{folder}/in", files=1))
     return rounded(streams.merged_batches(spark, stream, ["game_id", "market_side"], f"{folder}/out", f"{folder}/state"))

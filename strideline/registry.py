@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strideline.operators import betting, log
 from strideline.plans import build
 from strideline.sources import tables
+from strideline.sources.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,12 +41,12 @@ def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def opps(spark: SparkSession, sf_dir: str, price: str = "close") -> DataFrame:
-    f = frame(spark, sf_dir)
+    f = written(frame(spark, sf_dir).select(*betting.NEEDED))
     return betting.opportunities(f, betting.residual_stds(f), price)
 
 
 def bets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = frame(spark, sf_dir)
+    f = written(frame(spark, sf_dir).select(*betting.NEEDED))
     return betting.backtest(f, betting.residual_stds(f))
 
 
