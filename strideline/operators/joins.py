@@ -37,8 +37,8 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], at: str, val
     return both.withColumn("_found", last).where("_left").select(*left.columns, *[F.col("_found").getField(v).alias(v) for v in values])
 
 
-def band_match(left: DataFrame, right: DataFrame, by: list[str], left_id: str, left_day: str, right_id: str, right_day: str, ahead: int = 1) -> DataFrame:
-    """Greedy one-to-one match within 0..ahead days after the left day: left rows in order of day and id each take the
+def band_match(left: DataFrame, right: DataFrame, by: list[str], left_id: str, left_day: str, right_id: str, right_day: str, ahead: int = 1, order: list[str] | None = None) -> DataFrame:
+    """Greedy one-to-one match within 0..ahead days after the left day: left rows in ``order`` (of day and id) each take the
     closest right row (then the smaller id) that no earlier one took.
 
     In rounds: every left row asks for its best right row, a right row keeps the earliest that asks, and all later left
@@ -46,12 +46,12 @@ def band_match(left: DataFrame, right: DataFrame, by: list[str], left_id: str, l
     """
     near = right.withColumn("delta", F.explode(F.sequence(F.lit(0), F.lit(ahead)))).withColumn("_day", F.date_sub(right_day, F.col("delta")))
     pairs = written(left.withColumn("_day", F.col(left_day)).join(near, [*by, "_day"]).drop("_day"))
-    order = F.struct(left_day, left_id)
+    turn = F.struct(*(order or [left_day, left_id]))
     choice = F.row_number().over(Window.partitionBy(left_id).orderBy("delta", right_id))
     while True:
         asked = pairs.withColumn("_k", choice)
-        first = F.min(F.when(F.col("_k") == 1, order)).over(Window.partitionBy(right_id))
-        marked = written(asked.withColumn("_lost", F.coalesce(order > first, F.lit(False))))
+        first = F.min(F.when(F.col("_k") == 1, turn)).over(Window.partitionBy(right_id))
+        marked = written(asked.withColumn("_lost", F.coalesce(turn > first, F.lit(False))))
         if marked.where("_lost").isEmpty():
             return marked.where("_k = 1").drop("_k", "_lost")
         pairs = marked.where("not _lost").drop("_k", "_lost")

@@ -47,6 +47,11 @@ def freshness(rows: DataFrame, key: str, at: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max(at).alias("latest"))
 
 
+def since(rows: DataFrame, start: DataFrame, at: str) -> DataFrame:
+    """Rows at or after a time. ``start`` is one row, so it is broadcast."""
+    return rows.crossJoin(F.broadcast(start)).where(F.col(at) >= F.col(start.columns[0])).drop(start.columns[0])
+
+
 def history_union(history: DataFrame, live: DataFrame, day: str) -> DataFrame:
     """History plus the live rows after its last day; columns that one side lacks are null."""
     last = history.agg(F.max(day).alias("_last"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strideline import queries_form, queries_markets, queries_state  # noqa: F401  they register themselves
+from strideline import queries_form, queries_markets, queries_sources, queries_state  # noqa: F401  they register themselves
 from strideline.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

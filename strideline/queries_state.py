@@ -208,7 +208,10 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 RECORDS = 1000
 
 
-@query()
+STARTED = "st as (select event_id, 'p' || player_id as pitcher, is_home from box where line_no = 1), home as (select event_id, max(pitcher) as pitcher from st where is_home group by 1), away as (select event_id, max(pitcher) as pitcher from st where not is_home group by 1), er as (select event_id, 'p' || player_id as pitcher, max(pts % 7) as er from box group by all)"
+
+
+@query(with_(BASE, STARTED, "select 'G' || i.event_id as record_id, h.pitcher as home_starter, a.pitcher as away_starter, cast(x.er as double) as home_er, cast(y.er as double) as away_er from (select distinct event_id from box) i left join home h using (event_id) left join away a using (event_id) left join er x on x.event_id = i.event_id and x.pitcher = h.pitcher left join er y on y.event_id = i.event_id and y.pitcher = a.pitcher"))
 def tagged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{new_folder(spark)}/tagged"
     _lines(spark, sf_dir).write.option("maxRecordsPerFile", RECORDS).text(path)

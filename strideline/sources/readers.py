@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +25,7 @@ def positional(spark: SparkSession, paths: list[str], names: list[str]) -> DataF
     """Header-less files, all columns text, empty text kept; with the file that each row is from."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = spark.read.schema(schema).option("nullValue", "\u0000").option("emptyValue", "").csv(paths)
-    return rows.withColumn("file", F.input_file_name())
+    return rows.select(*[F.coalesce(n, F.lit("")).alias(n) for n in names], F.col("_metadata.file_path").alias("file"))
 
 
 def tagged_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -94,7 +101,7 @@ def feed_events(text: DataFrame, column: str = "value") -> DataFrame:
 
 
 DEPTH = "depthchart array<struct<positions:map<string,struct<athletes:array<struct<id:string,displayName:string>>>>>>"
-ROSTER = "athletes array<struct<items:array<struct<id:string, displayName:string, position:struct<abbreviation:string>, status:struct<type:string>, injuries:array<struct<status:string>>>>>"
+ROSTER = "athletes array<struct<items:array<struct<id:string, displayName:string, position:struct<abbreviation:string>, status:struct<type:string>, injuries:array<struct<status:string>>>>>>"
 
 
 def starter_status(rosters: DataFrame, position: str, out: tuple[str, ...] = ("Out", "Injured Reserve", "Doubtful", "Suspension")) -> DataFrame:
@@ -110,3 +117,45 @@ def starter_status(rosters: DataFrame, position: str, out: tuple[str, ...] = ("O
 
 def json_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
+
+
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def sheet_rows(book: bytes, sheet: str) -> Iterator[list[str | None]]:
+    """Cells of a named sheet as text, row by row; missing cells are None."""
+    with zipfile.ZipFile(io.BytesIO(book)) as z:
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            shared = ["".join(t.text or "" for t in item.iter(f"{_SHEET}t")) for item in ElementTree.parse(z.open("xl/sharedStrings.xml")).getroot()]
+        names = [s.get("name") for s in ElementTree.parse(z.open("xl/workbook.xml")).getroot().iter(f"{_SHEET}sheet")]
+        for _, row in ElementTree.iterparse(z.open(f"xl/worksheets/sheet{names.index(sheet) + 1}.xml")):
+            if row.tag != f"{_SHEET}row":
+                continue
+            cells: dict[int, str | None] = {}
+            for c in row.iter(f"{_SHEET}c"):
+                at = 0
+                for letter in re.match("[A-Z]+", c.get("r"))[0]:
+                    at = at * 26 + ord(letter) - 64
+                value = c.find(f"{_SHEET}v")
+                text = "".join(t.text or "" for t in c.iter(f"{_SHEET}t")) if c.get("t") == "inlineStr" else value.text if value is not None else None
+                cells[at - 1] = shared[int(text)] if c.get("t") == "s" and text is not None else text
+            row.clear()
+            yield [cells.get(i) for i in range(max(cells, default=-1) + 1)]
+
+
+def workbook(spark: SparkSession, path: str, schema: str, sheet: str) -> DataFrame:
+    """Rows of a sheet of each workbook in ``path``, one task a file, by its header's names; bad values are null."""
+    names = T.StructType.fromDDL(schema).names
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for book in batch.column("content").to_pylist():
+                rows = sheet_rows(book, sheet)
+                header = next(rows, [])
+                at = [header.index(n) if n in header else None for n in names]
+                found = [[r[i] if i is not None and i < len(r) else None for i in at] for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.string()) for _ in names], names)
+
+    text = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("content").mapInArrow(scan, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    return text.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema)])

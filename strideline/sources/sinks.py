@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import json
+import zipfile
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +57,28 @@ def markdown(title: str, tables: dict[str, DataFrame], rows: int = 50) -> str:
         for r in table.limit(rows).collect():
             out.append("| " + " | ".join("–" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v) for v in r) + " |")
     return "\n".join(out) + "\n"
+
+
+def workbook(rows: DataFrame, folder: str, sheet: str = "Data", most: int = 100_000) -> None:
+    """A small table as one workbook in ``folder``, through Hadoop's file system; more than ``most`` rows raise."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a workbook takes {most} rows at most")
+
+    def cell(v: object) -> str:
+        return "" if v is None else f"<v>{v}</v>" if isinstance(v, int | float) else f"<is><t>{escape(str(v))}</t></is>"
+
+    def row(i: int, values: list) -> str:
+        cells = (f'<c r="{chr(65 + j)}{i}"{"" if v is None or isinstance(v, int | float) else ' t="inlineStr"'}>{cell(v)}</c>' for j, v in enumerate(values))
+        return f'<row r="{i}">{"".join(cells)}</row>'
+
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook {space}><sheets><sheet name="{escape(sheet)}" sheetId="1"/></sheets></workbook>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {space}><sheetData>{''.join(row(i + 1, list(r)) for i, r in enumerate([rows.columns, *found]))}</sheetData></worksheet>")
+    spark = rows.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/data.xlsx")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(held.getvalue()))
+    out.close()
