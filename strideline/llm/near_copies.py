@@ -13,6 +13,7 @@ texts, repeated rows and null ids are as in ``simhash_dedup``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideline.llm import simhash_dedup
-from strideline.llm.common import text_bytes, texts, written
+from strideline.llm.common import chunks, text_bytes, texts, written
 from strideline.llm.components import components, named
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS, BLOCK = 24, 4, 512
+#: Bytes of text that are held as sets at once.
+CHUNK = 1 << 20
 _DRAW = np.random.default_rng(simhash_dedup.SEED)
 _ADD, _TIMES, _MIX = (_DRAW.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(3))
 _TIMES, _MIX = _TIMES | np.uint64(1), _MIX | np.uint64(1)
@@ -54,10 +57,12 @@ def signatures(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, data = text_bytes(batch.column("text"))
-            each = [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            fp = np.array([simhash_dedup.fingerprint(x) for x in each], np.uint64).view(np.int64)
-            keys = pa.array([band_keys(shingle_set(x)) for x in each], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(fp), keys], ["doc_id", "node", "fp", "keys"])
+            for lo, hi in chunks(at, CHUNK):
+                each = [data[a:b] for a, b in pairwise(at[lo : hi + 1].tolist())]
+                fp = np.array([simhash_dedup.fingerprint(x) for x in each], np.uint64).view(np.int64)
+                keys = pa.array([band_keys(shingle_set(x)) for x in each], pa.list_(pa.int64()))
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(fp), keys], ["doc_id", "node", "fp", "keys"])
 
     rows = texts(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", _node(), "text")
     return rows.mapInArrow(scan, "doc_id long, node long, fp long, keys array<long>")
@@ -66,8 +71,9 @@ def signatures(docs: DataFrame) -> DataFrame:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, data = text_bytes(batch.column("text"))
-        found = [shingle_set(data[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "members"])
+        for lo, hi in chunks(at, CHUNK):
+            found = [shingle_set(data[a:b]).tobytes() for a, b in pairwise(at[lo : hi + 1].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), pa.array(found, pa.binary())], ["node", "members"])
 
 
 def set_links(node: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -103,7 +109,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    for batch in batches:
+    for batch in (whole.slice(i, 256) for whole in batches for i in range(0, len(whole), 256)):
         for key, node, members in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "members")), strict=True):
             if key != at:
                 yield from out()
