@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideline.llm.common import texts
+from strideline.llm.common import texts, tidy
 from strideline.llm.windows import spans_hash
 from strideline.llm.words import batches, words_of
 
@@ -255,5 +255,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 held = {d for d, *_ in matches(sent.value, [t or "" for t in batch.column("text").to_pylist()])}
                 yield batch.filter(pa.array([i not in held for i in range(len(batch))], pa.bool_())) if held else batch
 
-        out = out.mapInArrow(scan, docs.schema)
+        out = out.mapInArrow(tidy(scan), docs.schema)
     return out

@@ -21,13 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideline.llm import simhash_dedup
-from strideline.llm.common import chunks, text_bytes, texts, written
+from strideline.llm.common import chunks, small_batches, text_bytes, texts, tidy, written
 from strideline.llm.components import components, named
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS, BLOCK = 24, 4, 512
-#: Bytes of text that are held as sets at once.
-CHUNK = 1 << 20
+#: Bytes of text that are held as sets at once, and sets that come to Python at once.
+CHUNK, BATCH = 1 << 20, 256
 _DRAW = np.random.default_rng(simhash_dedup.SEED)
 _ADD, _TIMES, _MIX = (_DRAW.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(3))
 _TIMES, _MIX = _TIMES | np.uint64(1), _MIX | np.uint64(1)
@@ -65,7 +65,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(fp), keys], ["doc_id", "node", "fp", "keys"])
 
     rows = texts(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", _node(), "text")
-    return rows.mapInArrow(scan, "doc_id long, node long, fp long, keys array<long>")
+    return rows.mapInArrow(tidy(scan), "doc_id long, node long, fp long, keys array<long>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +128,9 @@ def links(docs: DataFrame, table: DataFrame) -> DataFrame:
     keyed = written(shared.where("n > 1").select("node", F.xxhash64("all", "n").alias("key")).distinct())
     whole = texts(docs).select(_node(), "text").groupBy("node").agg(F.first("text").alias("text"))
     wanted = whole.join(keyed.select("node").distinct().hint("shuffle_hash"), "node", "left_semi")
-    sets = written(wanted.select("node", "text").mapInArrow(_sets, "node long, members binary"))
+    sets = written(wanted.select("node", "text").mapInArrow(tidy(_sets), "node long, members binary"))
     rows = simhash_dedup.dealt(keyed, "node", BLOCK).join(sets, "node").select("key", "node", "members")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_verify, "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_verify), "a long, b long")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -143,7 +143,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     pairs = links(docs, table)
     for end in ("a", "b"):
         pairs = pairs.join(group.select(F.col("node").alias(end), F.col("group").alias(f"group_{end}")), end)
-    second = components(pairs.select(F.col("group_a").alias("a"), F.col("group_b").alias("b"))).withColumnRenamed("node", "group")
+    with small_batches(docs.sparkSession, BATCH):
+        ends = written(pairs.select(F.col("group_a").alias("a"), F.col("group_b").alias("b")).distinct())
+    second = components(ends).withColumnRenamed("node", "group")
     whole = rooted.join(second, "group", "left").select("node", "least", F.coalesce("root", "group").alias("root"))
     return table.select("doc_id", "node").join(named(whole), "node").select("doc_id", "component_id")
 
