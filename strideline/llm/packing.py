@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideline.llm.common import WHITE, chunks, text_bytes, texts, written
+from strideline.llm.common import WHITE, chunks, text_bytes, texts, tidy, written
 
 CAPACITY, END = 4096, 1
 #: Text bytes that are tokenised at once, words that a worker remembers, and rows of a salted rank window.
@@ -149,7 +149,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                 d, *rest = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([doc_id.take(pa.array(d, pa.int64())), *(pa.array(c, k) for c, k in zip(rest, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return texts(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(scan, PIECES)
+    return texts(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(tidy(scan), PIECES)
 
 
 #: (length, first rank, end rank, first sequence, pieces of it in a sequence, offset in the sequence)

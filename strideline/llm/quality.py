@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideline.llm.common import chunks, text_bytes, texts, written
+from strideline.llm.common import chunks, text_bytes, texts, tidy, written
 from strideline.llm.labelled import held_out, sampled, training_sample
 from strideline.llm.windows import _TABLE, spans_hash, word_tokens
 
@@ -191,4 +191,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFra
             good = batch_scores(*text_bytes(batch.column("text")), trees) >= THRESHOLD
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(tidy(scan), docs.schema)
