@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm import decontaminate, html_extract, merkle, packing, quality, quality_rules, secret_scan, simhash_dedup, sql, substring_dedup, suffix_dedup, toxicity
+from strideline.llm import decontaminate, html_extract, merkle, packing, quality, quality_rules, secret_scan, simhash_dedup, spelling, sql, substring_dedup, suffix_dedup, toxicity
 from strideline.llm.common import documents
 
 
@@ -60,6 +60,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(documents(spark, sf_dir))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tampering: n_chars grows by 1 where 7 divides the crc32 of the id."""
     hit = (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0) & F.col("n_chars").isNotNull()
@@ -78,7 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_spelling": op12_spelling,
     "op13_merkle": op13_merkle,
 }
 
-ORACLES: dict[str, str] = {"op13_merkle": sql.MERKLE}
+ORACLES: dict[str, str] = {"op12_spelling": sql.SPELLING, "op13_merkle": sql.MERKLE}

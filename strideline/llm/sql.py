@@ -48,3 +48,21 @@ select l.doc_id::bigint as doc_id, l.leaf, b.h as subroot, r.h as root, sha256(c
 from leaves l join subs b on b.name = l.tree join (select h from high where n = 1) r on true
 left join paths p on p.tree = l.tree and p.leaf_i = l.i
 join fold f on f.tree = l.tree and f.i = l.i and f.k = coalesce(len(f.path), 0) + 1"""
+
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPELLING = f"""with recursive {CRC_TABLE},
+runs as (select doc_id, unnest(regexp_extract_all(translate(text, '{_CAPITALS}', '{_SMALL}'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) as run from documents),
+hashed as (select run, n, {crc32("coalesce(doc_id::varchar, '') || ':' || run")} as h from (select doc_id, run, count(*) as n from runs group by doc_id, run), crc_table),
+typed as (select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from hashed),
+words as (select word, sum(n)::bigint as n from typed where length(word) >= 5 group by word having sum(n) >= 3),
+cuts as (select word, n, unnest(range(1, length(word) + 1)) as i from words),
+wild as (select word, n, i, substr(word, 1, i - 1) as a, substr(word, i + 1) as b from cuts),
+shorter as (select distinct word, n, a || b as d from wild),
+near as (select x.word, y.word as other, y.n as m from wild x join wild y on x.i = y.i and x.a = y.a and x.b = y.b and x.word <> y.word
+  union all select s.word, w.word, w.n from shorter s join words w on w.word = s.d
+  union all select w.word, s.word, s.n from shorter s join words w on w.word = s.d),
+best as (select word, count(*) as n_near, first(other order by m desc, encode(other)) as form, max(m) as form_n from near group by word),
+forms as (select word, n, coalesce(n_near, 0) as n_near, case when form_n >= 2 * n then form end as form, case when form_n >= 2 * n then form_n end as form_n from words left join best using (word)),
+chain as (select word, form as last_form, 1 as k from forms where form is not null union all select c.word, f.form, k + 1 from chain c join forms f on f.word = c.last_form where f.form is not null),
+roots as (select word, arg_max(last_form, k) as root from chain group by word)
+select word, form, coalesce(root, word) as root, n, n_near, form_n from forms left join roots using (word)"""
