@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm import decontaminate, html_extract, merkle, packing, quality, quality_rules, secret_scan, simhash_dedup, spelling, sql, substring_dedup, suffix_dedup, toxicity
+from strideline.llm import decontaminate, html_extract, merkle, minhash_dedup, packing, quality, quality_rules, secret_scan, simhash_dedup, spelling, sql, substring_dedup, suffix_dedup, toxicity
 from strideline.llm.common import documents
 
 
@@ -60,6 +60,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(documents(spark, sf_dir))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_dedup.near_groups(documents(spark, sf_dir))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
@@ -82,8 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_minhash": op11_minhash,
     "op12_spelling": op12_spelling,
     "op13_merkle": op13_merkle,
 }
 
-ORACLES: dict[str, str] = {"op12_spelling": sql.SPELLING, "op13_merkle": sql.MERKLE}
+ORACLES: dict[str, str] = {"op11_minhash": sql.MINHASH, "op12_spelling": sql.SPELLING, "op13_merkle": sql.MERKLE}

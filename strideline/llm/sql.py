@@ -66,3 +66,20 @@ forms as (select word, n, coalesce(n_near, 0) as n_near, case when form_n >= 2 *
 chain as (select word, form as last_form, 1 as k from forms where form is not null union all select c.word, f.form, k + 1 from chain c join forms f on f.word = c.last_form where f.form is not null),
 roots as (select word, arg_max(last_form, k) as root from chain group by word)
 select word, form, coalesce(root, word) as root, n, n_near, form_n from forms left join roots using (word)"""
+
+MINHASH = f"""with recursive docs as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_CAPITALS}', '{_SMALL}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents),
+shingled as (select doc_id, list_distinct(case when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s from docs),
+sized as (select doc_id, len(s) as n, s from shingled),
+named as (select s, min(doc_id) as id, any_value(n) as n from (select doc_id, n, list_sort(s) as s from sized where n > 0) group by s),
+flat as (select id, n, unnest(s) as x from named),
+ordered as (select id, n, x, row_number() over (partition by id order by df, x) as k from flat join (select x, count(*) as df from flat group by x) using (x)),
+-- Two sets that are similar enough share one of their first, rarest shingles.
+firsts as (select id, n, x from ordered where k <= n - (4 * n + 4) // 5 + 1),
+candidates as (select distinct a.id as a, b.id as b, a.n as na, b.n as nb from firsts a join firsts b on a.x = b.x and a.id < b.id and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n),
+shared as (select a, b, na, nb, count(*) as n from candidates join flat f on f.id = a join flat g on g.id = b and g.x = f.x group by a, b, na, nb),
+links as (select a, b from shared where 100 * n >= 80 * (na + nb - n)),
+edges as (select a, b from links union select b, a from links),
+reach as (select a as x, a as y from edges union select r.x, e.b from reach r join edges e on r.y = e.a),
+roots as (select x, min(y) as root from reach group by x),
+ids as (select doc_id, n, id from (select doc_id, n, list_sort(s) as s from sized) left join named using (s, n))
+select doc_id, n::bigint as n_shingles, coalesce(root, id, doc_id) as component_id, doc_id = coalesce(root, id, doc_id) as kept from ids left join roots on id = x"""
