@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strideline.llm.common import written
+from strideline.llm.common import tidy, written
 
 #: Children of a parent, and levels whose links are gathered together.
 ARITY, DEPTH = 2, 8
@@ -129,7 +129,7 @@ def climb(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = nodes.select("tree", F.lit(0).alias("level"), "idx", "n", "digest")
     tables, ancestor = [], 0
     while True:
-        tables.append(written(nodes.mapInArrow(_combine, NODES)))
+        tables.append(written(nodes.mapInArrow(tidy(_combine), NODES)))
         frontier = tables[-1].where(F.col("kind") == FRONTIER)
         left, most = frontier.agg(F.count(F.lit(1)), F.max("n")).first()
         if not left:
@@ -215,7 +215,7 @@ def paths(links: DataFrame, tops: DataFrame, above: DataFrame, asked: DataFrame)
         sent = start.select("tree", "block", F.lit(ABOVE).alias("kind"), F.lit(0).alias("level"), zero.alias("idx"), F.col("path").alias("value"), "top", F.lit(None).cast(row).alias("row"))
         sent = sent.unionByName(here.select("tree", block, F.lit(BESIDE).alias("kind"), "level", "idx", F.col("siblings").alias("value"), none.alias("top"), F.lit(None).cast(row).alias("row")))
         sent = sent.unionByName(nodes.select("tree", F.expr(f"idx div {ARITY**DEPTH}").alias("block"), F.lit(ASKED).alias("kind"), F.lit(first).alias("level"), "idx", none.alias("value"), none.alias("top"), "row"))
-        known = written(sent.repartition("tree", "block").sortWithinPartitions("tree", "block", "kind").mapInArrow(_paths(first), kinds))
+        known = written(sent.repartition("tree", "block").sortWithinPartitions("tree", "block", "kind").mapInArrow(tidy(_paths(first)), kinds))
     return known
 
 
@@ -246,5 +246,5 @@ def verified(rows: DataFrame, shown: str) -> DataFrame:
     """rows: a manifest with the column ``shown``, the digest that a document has now (null: its leaf). Hex digests,
     proof_sha256 (of all siblings), the root that the shown digest folds to, and whether it is the manifest's."""
     sent = rows.select("doc_id", *(F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root")), F.coalesce(shown, "leaf").alias("shown"), "path")
-    out = sent.mapInArrow(_folded, "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string")
+    out = sent.mapInArrow(tidy(_folded), "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string")
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
