@@ -6,7 +6,7 @@
 2. Rows with equal sets are one node. Two nodes at 0.8 share no key with a chance of (1 - 0.8**ROWS)**BANDS, 5 in 10**8.
 3. In a bucket, nodes whose sketches differ in ``FAR`` bits at most (5.6 deviations from the mean at 0.8) and whose sizes
    can fit are candidates. Links that span the candidates of a bucket are enough to group all nodes that may be linked.
-4. Each node is in one such group, so the set of a node is sent once, to its group, where sets are compared in full.
+4. Each node is in one such group, so the set of a node is shuffled once, to its group, where sets are compared in full.
    Exact links decide the components; a candidate alone links nothing.
 
 Both kinds of buckets are handled by ``meet``: a bucket over its block size first links members to one of them, its pivot,
@@ -35,8 +35,8 @@ from strideline.llm.windows import word_tokens
 BANDS, ROWS, SAMPLES, BITS, FAR = 32, 4, 256, 512, 140
 #: Sizes of blocks of sketches and of sets; bytes of text that are held as sets at once; sets that come to Python at once.
 SKETCHES, SETS, CHUNK, BATCH = 2048, 512, 1 << 20, 256
-#: Nodes whose texts are found by a broadcast of their keys (8 bytes each); more are shuffled.
-WANTED = 1_000_000
+#: Nodes (about 120 bytes each) that are broadcast to find their texts; more are joined by a shuffle.
+WANTED = 200_000
 _DRAW = np.random.default_rng(11)
 _ADD, _TIMES, _BAND, _FOLD = (_DRAW.integers(0, 1 << 64, SAMPLES, np.uint64) for _ in range(4))
 _TIMES, _BAND, _FOLD = _TIMES | np.uint64(1), _BAND[: BANDS * ROWS] | np.uint64(1), _FOLD | np.uint64(1)
@@ -133,7 +133,7 @@ class Bucket:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: one bucket is held at a time."""
+    """Rows sorted by key and node: one bucket is held at a time."""
     at, rows = None, []
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -143,11 +143,12 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
     for batch in batches:
-        for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "n", "sketch", "members")), strict=True):
+        for key, *row in zip(*(batch.column(c).to_pylist() for c in COLUMNS), strict=True):
             if key != at:
                 yield from out()
                 at, rows = key, []
-            rows.append(row)
+            if not rows or rows[-1][0] != row[0]:  # tasks may each have sent the same node
+                rows.append(row)
     yield from out()
 
 
@@ -175,39 +176,54 @@ def _in_blocks(judged: DataFrame, block: int) -> DataFrame:
     return rows.select("node", F.col("key").alias("bucket"), F.explode(groups).alias("g")).select("node", F.xxhash64("bucket", "g.a", "g.b", "g.whole").alias("key"))
 
 
-def meet(keyed: DataFrame, held: DataFrame, block: int) -> DataFrame:
-    """keyed: key, node. held: node, n, sketch, members. Links (a, b) that span the linked nodes of each bucket."""
-    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block).select("key")
-    large = written(large)
-    size = large.count()
-    if not size:
-        return _met(keyed, held)
-    hot = keyed.join(large, "key", "left_semi").join(held, "node")
+def meet(keyed: DataFrame, rows: DataFrame, block: int) -> DataFrame:
+    """keyed: key, node of a written table. rows: the same with n, sketch, members. Links (a, b) that span the linked nodes of each bucket."""
+    large = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block).select("key"))
+    if large.isEmpty():
+        return _met(rows)
+    hot = rows.join(large, "key", "left_semi")
     pivots = written(hot.groupBy("key").agg(F.min_by(F.struct("node", "n", "sketch", "members"), F.xxhash64("node")).alias("pivot")))
     judged = written(hot.join(pivots, "key").select("key", "node", "n", "sketch", "members", "pivot").mapInArrow(tidy(_to_pivot), "key long, node long, pivot long, linked boolean"))
     found = judged.where("linked and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    rest = keyed.join(large, "key", "left_anti").select("node", "key").unionByName(_in_blocks(judged, block))
-    return found.unionByName(_met(rest, held))
+    # A hot node is in several hot buckets, but its payload is the same in each.
+    held = hot.select("node", "n", "sketch", "members").dropDuplicates(["node"])
+    rest = rows.join(large, "key", "left_anti").select(*COLUMNS).unionByName(_in_blocks(judged, block).join(held, "node").select(*COLUMNS))
+    return found.unionByName(_met(rest))
 
 
-def _met(keyed: DataFrame, held: DataFrame) -> DataFrame:
-    rows = keyed.join(held, "node").select("key", "node", "n", "sketch", "members")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_links), "a long, b long")
+COLUMNS = ("key", "node", "n", "sketch", "members")
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    return rows.select(*COLUMNS).repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(_links), "a long, b long")
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
     """node and key of the buckets with several nodes; buckets with the same members are one."""
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("all")).where("size > 1")
-    return keyed.join(shared, "key").select("node", F.xxhash64("all", "size").alias("key")).distinct()
+    # Most keys have one node: they are told apart by counts alone, before anything else is added up.
+    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    shared = written(keyed.join(several, "key"))
+    named_by = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("all"))
+    return shared.join(named_by, "key").select("node", F.xxhash64("all", "size").alias("key")).distinct()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of each node that a row was found for, once for a task: a row found by its key alone may have another set."""
+    seen: set[int] = set()
     for batch in batches:
         at, data = text_bytes(batch.column("text"))
+        nodes, digests = batch.column("node").to_pylist(), batch.column("digest").to_pylist()
         for lo, hi in chunks(at, CHUNK):
-            found = [x.tobytes() for x in shingle_sets(at[lo : hi + 1], data)]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in found], pa.binary()), pa.array(found, pa.binary())], ["digest", "members"])
+            members, taken = [], []
+            for i, x in enumerate(shingle_sets(at[lo : hi + 1], data), lo):
+                if nodes[i] not in seen and xxhash.xxh3_128_digest(x.tobytes()) == digests[i]:
+                    seen.add(nodes[i])
+                    taken.append(i)
+                    members.append(x.tobytes())
+            if taken:
+                part = batch.take(pa.array(taken))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in COLUMNS[:-1]), pa.array(members, pa.binary())], list(COLUMNS))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -216,16 +232,15 @@ def near_groups(docs: DataFrame) -> DataFrame:
     table = written(signatures(docs))
     same = table.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     nodes = written(same.withColumn("node", F.monotonically_increasing_id()))
+    keyed = written(buckets(nodes))
     held = nodes.select("node", "n", "sketch", F.lit(None).cast("binary").alias("members"))
-    grouped = written(components(meet(written(buckets(nodes)), held, SKETCHES)).withColumnRenamed("root", "key"))
-    wanted = written(nodes.join(grouped.select("node"), "node").select("node", "n", "sketch", "digest", "rk"))
-    keys = wanted.select("rk").distinct()
-    keys = F.broadcast(keys) if wanted.count() <= WANTED else keys.hint("shuffle_hash")
-    # A key finds one row of a node, and now and then a row with another set, which the digest leaves out.
-    sets = _rows(docs).join(keys, "rk", "left_semi").select("text").mapInArrow(tidy(_sets), "digest binary, members binary")
-    sets = written(sets.join(wanted, "digest").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("members").alias("members")))
+    grouped = components(meet(keyed, keyed.join(held, "node"), SKETCHES)).withColumnRenamed("root", "key")
+    wanted = written(nodes.join(grouped, "node").select("rk", "digest", *COLUMNS[:-1]))
+    sought = F.broadcast(wanted) if wanted.count() <= WANTED else wanted
+    found = _rows(docs).join(sought, "rk").select("text", "digest", *COLUMNS[:-1])
+    sets = written(found.mapInArrow(tidy(_sets), "key long, node long, n long, sketch binary, members binary"))
     with small_batches(spark, BATCH):
-        links = written(meet(grouped.select("key", "node"), sets, SETS))
+        links = written(meet(sets, sets, SETS))
     roots = components(links)
     found = named(nodes.select("node", "least").join(roots, "node", "left"))
     of_set = nodes.select("node", "digest").join(found, "node").select("digest", "component_id")
