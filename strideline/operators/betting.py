@@ -71,9 +71,9 @@ def settled(bets: DataFrame) -> DataFrame:
     return bets.withColumn("result", result.cast("int"))
 
 
-def backtest(frame: DataFrame, stds: DataFrame, price: str = "open", min_edge: float = 3.0, confidence: tuple[str, ...] = ("Medium", "High")) -> DataFrame:
+def backtest(frame: DataFrame, stds: DataFrame, price: str = "open", min_edge: float = 3.0, confidence: tuple[str, ...] = ("Medium", "High"), strength: float = STRENGTH) -> DataFrame:
     """Bets with enough edge and confidence, settled at flat stakes, with their closing line value."""
-    picked = settled(opportunities(frame, stds, price).where((F.col("edge_pct") >= min_edge) & F.col("confidence").isin(*confidence)))
+    picked = settled(opportunities(frame, stds, price, strength).where((F.col("edge_pct") >= min_edge) & F.col("confidence").isin(*confidence)))
     close = F.when(F.col("market") != "moneyline", F.lit(FLAT)).when(F.col("side") == "home", F.col("home_close")).otherwise(F.col("away_close"))
     profit = F.when(F.col("result") == 0, 0.0).when(F.col("result") == 1, F.col("price") - 1).otherwise(-1.0)
     return picked.select("*", profit.alias("profit"), odds.clv_pct(F.col("price"), close).alias("clv"), odds.edge_bucket("edge_pct").alias("edge_bucket"))

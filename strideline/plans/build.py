@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideline.operators import betting, form, log, ratings
+from strideline.functions import rules
+from strideline.operators import betting, form, log, models, ratings
+from strideline.operators.boosting import Ensemble, Spec
 from strideline.plans.leagues import REGISTRY
+from strideline.sources.scratch import written
 
 FORM = {"pf": "pf10", "pa": "pa10", "won": "won10", "ats": "ats10"}
 #: Neutral values for a team without history.
@@ -36,43 +39,79 @@ def filled(frame: DataFrame) -> DataFrame:
     return out.na.fill({f"{s}_{c}": v for s in ("home", "away") for c, v in NEUTRAL.items()})
 
 
-def build(games: DataFrame, league: str) -> dict[str, DataFrame]:
-    """Everything that a league's build yields, as lazy frames: features, predictions, deviations, bets, summaries, ratings, form."""
+def derived(frame: DataFrame, pythagorean: float) -> DataFrame:
+    """What follows from both teams' form, rest and ratings: differences, naive scores, win shares, second nights in a row."""
+    naive_total = (F.col("home_pf10") + F.col("away_pa10") + F.col("away_pf10") + F.col("home_pa10")) / 2
+    naive_margin = (F.col("home_pf10") - F.col("home_pa10") - F.col("away_pf10") + F.col("away_pa10")) / 2
+    shares = {f"{s}_pyth": F.coalesce(rules.pythagorean(F.col(f"{s}_pf10"), F.col(f"{s}_pa10"), pythagorean), F.lit(0.5)) for s in ("home", "away")}
+    nights = {f"{s}_b2b": (F.col(f"{s}_rest") <= 1).cast("double") for s in ("home", "away")}
+    flags = {f"{c}_flag": F.coalesce(F.col(c), F.lit(False)).cast("double") for c in ("is_playoff", "is_neutral")}
+    out = frame.withColumns({"rest_diff": F.col("home_rest") - F.col("away_rest"), "naive_total": naive_total, "naive_margin": naive_margin, **shares, **nights, **flags})
+    return out.withColumn("pyth_diff", F.col("home_pyth") - F.col("away_pyth"))
+
+
+def model_frame(games: DataFrame, league: str) -> DataFrame:
+    """A row of each played game with all that the league's models may use, as of before the game."""
     spec = REGISTRY[league]
     games = reduce(lambda frame, step: frame.transform(step), spec.attach, games)
-    frame = features(games, spec.missing_rest)
-    frame = frame.transform(spec.extra) if spec.extra else frame
-    oos = betting.predicted(frame)
-    stds = betting.residual_stds(oos)
-    bets = betting.backtest(oos, stds, spec.price)
+    rated = ratings.history(games.withColumn("league", F.lit(league))).select("game_id", (F.col("home_pre") - F.col("away_pre")).alias("rating_diff"))
+    frame = derived(filled(features(games, spec.missing_rest)), spec.pythagorean).join(rated, "game_id")
+    return written(frame.transform(spec.extra) if spec.extra else frame)
+
+
+def evaluated(frame: DataFrame, league: str, chosen: Sequence[str] | None = None, trees: Spec | None = None) -> dict[str, DataFrame]:
+    """Out-of-sample predictions by season, the deviations of just these predictions and of ratings, bets and summaries.
+
+    frame: of ``model_frame``. The deviations are those of the predictors that opportunities use: Elo before the game,
+    boosted trees that never saw the season, and the naive total.
+    """
+    spec = REGISTRY[league]
+    oos = written(models.walk_forward(frame, list(chosen or spec.features), spec=trees))
+    stds = written(betting.residual_stds(oos, spec.rating.points))
+    bets = betting.backtest(oos.select(*betting.NEEDED), stds, spec.price, strength=spec.rating.points)
+    return {"predictions": oos, "residuals": stds, "bets": bets, "summary": betting.summaries(bets)}
+
+
+def build(games: DataFrame, league: str, trees: Spec | None = None) -> dict[str, DataFrame]:
+    """Everything that a league's build yields: features, predictions, deviations, bets, summaries, ratings, form."""
+    frame = model_frame(games, league)
+    return {"features": frame} | evaluated(frame, league, trees=trees) | as_of_now(games, league)
+
+
+def as_of_now(games: DataFrame, league: str) -> dict[str, DataFrame]:
+    """Ratings and form with every game so far, from which games to come are scored."""
     rated = ratings.history(games.withColumn("league", F.lit(league)))
+    last = Window.partitionBy("team").orderBy(F.desc("game_date"), F.asc("is_home"), F.desc("game_id"))
+    now = form.streak(form.trailing(log.team_log(games), FORM, inclusive=True), inclusive=True)
     return {
-        "features": frame,
-        "predictions": oos,
-        "residuals": stds,
-        "bets": bets,
-        "summary": betting.summaries(bets),
         "ratings": rated,
         "final_ratings": ratings.final(rated),
-        "current_form": form.latest(log.team_log(games), FORM),
+        "current_form": now.withColumn("_r", F.row_number().over(last)).where("_r = 1").withColumnRenamed("game_date", "last_day").drop("_r"),
     }
 
 
-def upcoming(games: DataFrame, form_now: DataFrame, ratings_now: DataFrame, neutral_rating: float = 1500.0) -> DataFrame:
-    """Feature rows of games to come: ratings and current form of both teams; unknown teams get neutral values."""
+def upcoming(games: DataFrame, form_now: DataFrame, ratings_now: DataFrame, league: str = "nfl") -> DataFrame:
+    """Feature rows of games to come (home, away, game_date): ratings and current form; unknown teams get neutral values."""
+    spec = REGISTRY[league]
     out = games
     for side in ("home", "away"):
-        team = form_now.select(F.col("team").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in FORM.values()])
+        team = form_now.select(F.col("team").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in (*FORM.values(), "streak")], F.col("last_day").alias(f"_{side}_day"))
         rating = ratings_now.select(F.col("team").alias(side), F.col("rating").alias(f"{side}_rating"))
-        out = out.join(team, side, "left").join(rating, side, "left").withColumn(f"{side}_rating", F.coalesce(f"{side}_rating", F.lit(neutral_rating)))
-    return filled(out)
+        out = out.join(team, side, "left").join(rating, side, "left")
+        rest = F.date_diff("game_date", f"_{side}_day")
+        out = out.withColumns({f"{side}_rating": F.coalesce(f"{side}_rating", F.lit(spec.rating.start)), f"{side}_rest": F.coalesce(rest, F.lit(spec.missing_rest)), f"{side}_streak": F.coalesce(f"{side}_streak", F.lit(0))}).drop(f"_{side}_day")
+    out = out.withColumns({c: F.lit(False) for c in ("is_playoff", "is_neutral") if c not in out.columns})
+    return derived(filled(out), spec.pythagorean).withColumn("rating_diff", F.col("home_rating") - F.col("away_rating"))
 
 
-def matchups(games: DataFrame, form_now: DataFrame, ratings_now: DataFrame, final: PipelineModel, stds: DataFrame, neutral_rating: float = 1500.0) -> DataFrame:
-    """Opportunities of games to come: their features as of now, the final models' predictions, and quoted prices and lines."""
-    rows = upcoming(games, form_now, ratings_now, neutral_rating)
-    rows = rows.withColumns({f: F.coalesce(F.col(f), F.lit(0)) if f in rows.columns else F.lit(0 if f.endswith("streak") else 7) for f in FEATURES})
-    naive = (F.col("home_pf10") + F.col("away_pa10") + F.col("away_pf10") + F.col("home_pa10")) / 2
-    scored = final.transform(rows).withColumns({"rating_diff": F.col("home_rating") - F.col("away_rating"), "naive_total": naive})
+def matchups(games: DataFrame, made: dict[str, DataFrame], final: Ensemble, league: str) -> DataFrame:
+    """Opportunities of games to come at quoted prices and lines: their features as of now, the final models, and the
+    deviations of the walk-forward sample (``made``: of ``build``). A feature that a game to come lacks is missing to the trees."""
+    spec = REGISTRY[league]
+    rows = upcoming(games, made["current_form"], made["final_ratings"], league)
+    rows = rows.transform(spec.extra) if spec.extra else rows
+    rows = rows.withColumns({f: F.lit(None).cast("double") for f in final.features if f not in rows.columns})
+    scored = final.transform(rows)
     unknown = {c: F.lit(None).cast("double") for c in betting.KEPT if c not in scored.columns}
-    return betting.opportunities(scored.withColumns(unknown), stds)
+    found = betting.opportunities(scored.withColumns(unknown), made["residuals"], strength=spec.rating.points)
+    return found.transform(spec.display) if spec.display else found

@@ -142,12 +142,19 @@ def rating_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.rating_table(ratings.final(ratings.history(g)), tables.games(spark, sf_dir))
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Games to come, three days after the last one: a team each, one of them unknown, with quoted lines and prices."""
+    key = F.col("n_nationkey")
+    day = tables.games(spark, sf_dir).agg(F.date_add(F.max("game_date"), 3).alias("game_date"))
+    rows = tables.table(spark, sf_dir, "nation").crossJoin(F.broadcast(day))
+    return rows.select(key.cast("long").alias("game_id"), "game_date", key.alias("home"), ((key + 7) % 26).alias("away"), ((key % 13) - 6.5).alias("home_line"), (key % 9 + 30.5).alias("total_line"), (1.5 + key % 10 / F.lit(10)).alias("home_close"), (2.9 - key % 10 / F.lit(10)).alias("away_close"))
+
+
 @query()
 def upcoming_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = build.build(tables.games(spark, sf_dir), "nfl")
-    nations = tables.table(spark, sf_dir, "nation")
-    games = nations.select(F.col("n_nationkey").alias("home"), ((F.col("n_nationkey") + 7) % 26).alias("away"))
-    return rounded(build.upcoming(games, made["current_form"], made["final_ratings"]).select("home", "away", *[f"{s}_{c}" for s in ("home", "away") for c in ("pf10", "pa10", "won10", "ats10", "rating")]))
+    now = build.as_of_now(tables.games(spark, sf_dir), "nfl")
+    rows = build.upcoming(_asked(spark, sf_dir), now["current_form"], now["final_ratings"])
+    return rounded(rows.select("home", "away", *[f"{s}_{c}" for s in ("home", "away") for c in ("pf10", "pa10", "won10", "ats10", "streak", "rest", "rating")]))
 
 
 def _model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,28 +174,33 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the final models, fitted on all rows."""
     rows, targets = _model_frame(spark, sf_dir), ("margin", "total")
     found = models.permutation_importance(models.fit_final(rows, build.FEATURES, targets), rows, build.FEATURES, targets, "game_id")
-    return spark.createDataFrame(found, "target string, feature string, loss double")
+    return spark.createDataFrame(found, "target string, feature string, loss double, spread double")
 
 
 @query()
 def score_matchups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Games to come: features as of now, the final models' predictions, and the opportunities at quoted prices."""
-    games = tables.games(spark, sf_dir)
-    made, rows = build.build(games, "nfl"), _model_frame(spark, sf_dir)
-    final = models.fit_final(rows, build.FEATURES, ("margin", "total"))
-    nations = tables.table(spark, sf_dir, "nation")
-    key = F.col("n_nationkey")
-    asked = nations.select(key.cast("long").alias("game_id"), key.alias("home"), ((key + 7) % 26).alias("away"), ((key % 13) - 6.5).alias("home_line"), (key % 9 + 30.5).alias("total_line"), (1.5 + key % 10 / F.lit(10)).alias("home_close"), (2.9 - key % 10 / F.lit(10)).alias("away_close"))
-    scored = build.matchups(asked, made["current_form"], made["final_ratings"], final, written(made["residuals"]))
+    made = build.build(tables.games(spark, sf_dir), "nfl")
+    final = models.fit_final(made["features"], build.REGISTRY["nfl"].features, ("margin", "total"))
+    scored = build.matchups(_asked(spark, sf_dir), made, final, "nfl")
     return rounded(scored.select("game_id", "home", "away", "market", "side", "line", "model_prob", "fair_prob", "price", "edge_pct", "kelly", "confidence"))
 
 
+@query()
+def league_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deviations of each predictor over the walk-forward sample, and the back-test on it."""
+    made = build.build(tables.games(spark, sf_dir), "nfl")
+    return rounded(made["residuals"].crossJoin(F.broadcast(research.fit_row(made["predictions"], made["bets"]))))
+
+
 @query()
 def feature_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Walk-forward with and without the streaks, and the verdict of the gate on adding them."""
-    rows = _model_frame(spark, sf_dir)
-    without = [f for f in build.FEATURES if not f.endswith("streak")]
-    fits = [research.fit_row(models.walk_forward(rows, f)) for f in (without, build.FEATURES)]
+    """Walk-forward and back-test without and with the streaks, and the verdict of the gate on adding them."""
+    frame, every = build.model_frame(tables.games(spark, sf_dir), "nhl"), build.REGISTRY["nhl"].features
+    fits = []
+    for chosen in ([f for f in every if not f.endswith("streak")], every):
+        made = build.evaluated(frame, "nhl", chosen)
+        fits.append(research.fit_row(made["predictions"], made["bets"]))
     return research.evaluated(research.side_by_side(*fits), tests=1)
 
 
