@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strideline.functions import odds
-from strideline.operators import enrich, log, ratings, research, stats, store
+from strideline.operators import betting, enrich, log, ratings, research, stats, store
 from strideline.queries_state import _lines
 from strideline.registry import bets, frame, query, rounded, the_log
 from strideline.sources import readers, sinks, tables
 from strideline.sources.scratch import new_folder, written
 from strideline.sql import BASE, BETS, LOG, PREDICTED, with_
+from strideline.streaming import stateful
 from strideline.streaming import ticks as streams
 
 # ---------------------------------------------------------------- files
@@ -214,11 +215,41 @@ def stream_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def live_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ratings over history and the live games after its last day."""
-    g = tables.games(spark, sf_dir).withColumn("league", F.lit("nfl"))
-    columns = ["league", "game_id", "game_date", "season", "home", "away", "home_score", "away_score", "is_neutral"]
-    both = store.history_union(g.where("season <= 1999").select(columns), g.where("season >= 1999").select(columns), "game_date")
-    return rounded(ratings.final(ratings.history(both)))
+    """Ratings stored at the end of history, moved on by the games since, which arrive in three batches."""
+    folder = new_folder(spark)
+    g = tables.games(spark, sf_dir).withColumn("league", F.explode(F.array(*[F.lit(x) for x in ratings.LEAGUES])))
+    stored = written(ratings.final(ratings.history(g.where("season < 1999"))))
+    stateful.in_files(g.where("season >= 1999"), "game_date", 3, f"{folder}/in")
+    games = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stateful.drained(spark, stateful.live_ratings(games, stored), folder)
+    live = ratings.final(stateful.arrived(spark, folder, ratings.HISTORY))
+    idle = stored.join(live, ["league", "team"], "left_anti")
+    return rounded(live.unionByName(idle))
+
+
+PLACED = "legs as (select cast(game_date - date '1970-01-01' as bigint) * 5 + game_id % 5 as parlay_id, game_id, market, side, price, case when game_id % 11 <> 0 then result end as result from bets)"
+
+
+@query(with_(BETS, PLACED, "select parlay_id, cast(legs as int) as legs, cast(result as int) as result, round(case result when 1 then payout - 1 when 0 then 0 else -1 end, 6) as profit from (select parlay_id, count(*) as legs, case when count(*) filter (result = -1) > 0 then -1 when count(*) filter (result = 1) = 0 then 0 else 1 end as result, coalesce(product(price) filter (result = 1), 1) as payout, count(result) as done from legs group by 1) where done = legs"))
+def stream_parlays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parlays as a stream: legs meet their games' results, and a parlay is settled when its last leg is. Both over several batches."""
+    folder = new_folder(spark)
+    b = written(bets(spark, sf_dir).select("game_id", "game_date", "market", "side", "line", "price", "home_win", "margin", "total"))
+    day = F.unix_date("game_date").cast("long")
+    legs = b.select((day * 5 + F.col("game_id") % 5).alias("parlay_id"), "game_id", "market", "side", "line", "price", "game_date")
+    size = legs.groupBy("parlay_id").agg(F.count(F.lit(1)).alias("n_legs"))
+    at = F.col("game_date").cast("timestamp")
+    stateful.in_files(legs.join(size, "parlay_id").select("*", (at + F.expr("interval 12 hours")).alias("picked_at")).drop("game_date"), "picked_at", 3, f"{folder}/picks")
+    results = b.where("game_id % 11 <> 0").select("game_id", (at + F.make_interval(days=(1 + F.col("game_id") % 3).cast("int"))).alias("ended_at"), "home_win", "margin", "total").distinct()
+    stateful.in_files(results, "ended_at", 4, f"{folder}/results")
+    read = lambda name: spark.readStream.schema(spark.read.parquet(f"{folder}/{name}").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}")
+    joined = betting.settled(streams.settlement(read("picks"), read("results")))
+    decided = joined.select("parlay_id", F.concat_ws("|", F.col("game_id").cast("string"), "market", "side").alias("leg"), F.col("n_legs").cast("int").alias("n_legs"), "price", "result", "ended_at")
+    stateful.drained(spark, decided, f"{folder}/decided")
+    stateful.in_files(stateful.arrived(spark, f"{folder}/decided", "parlay_id long, leg string, n_legs int, price double, result int, ended_at timestamp"), "ended_at", 4, f"{folder}/told")
+    stateful.drained(spark, stateful.parlays(read("told")), f"{folder}/parlays")
+    out = stateful.arrived(spark, f"{folder}/parlays", stateful.PARLAYS)
+    return rounded(out.where("result is not null").select("parlay_id", "legs", "result", "profit"))
 
 
 @query(with_(PREDICTED, "select count(*) as n, round(corr(margin, predicted_margin), 6) as margin_corr, round(avg(abs(margin - predicted_margin)), 6) as margin_mae from oos"))

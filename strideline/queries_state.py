@@ -11,6 +11,7 @@ from strideline.registry import bets, frame, query, rounded, the_log
 from strideline.sources import readers, sinks, tables
 from strideline.sources.scratch import new_folder, written
 from strideline.sql import BASE, BETS, LOG, PREDICTED, with_
+from strideline.streaming import stateful
 from strideline.streaming import ticks as streams
 
 # ---------------------------------------------------------------- stored state
@@ -232,11 +233,11 @@ def tagged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(BASE, "select game_id, market_side, round(arg_min(price, ts), 6) as open, round(arg_max(price, ts), 6) as close from ticks group by all"))
 def stream_open_close(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ticks through the stateful stream, file by file, merged by key."""
+    """All ticks in order of time, batch by batch; the state of a game goes five days after its last tick."""
     folder = new_folder(spark)
-    tables.ticks(spark, sf_dir).select("tick_id", "game_id", "ts", "market_side", "price").repartitionByRange(3, "ts").write.parquet(f"{folder}/in")
-    stream = streams.open_close(streams.source(spark, f"{folder}/in", files=1))
-    return rounded(streams.merged_batches(spark, stream, ["game_id", "market_side"], f"{folder}/out", f"{folder}/state"))
+    stateful.in_files(tables.ticks(spark, sf_dir).select("tick_id", "game_id", "ts", "market_side", "price"), "ts", 4, f"{folder}/in")
+    stateful.drained(spark, stateful.open_close(streams.source(spark, f"{folder}/in", files=1)), folder, "update")
+    return rounded(stateful.latest_prices(stateful.arrived(spark, folder, stateful.PRICES)))
 
 
 @query(with_(BASE, "select date_trunc('day', ts) as window_start, market_side, count(*) as ticks, round(avg(price), 6) as mean_price from ticks group by all"))
