@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideline.functions import rules
@@ -18,6 +18,20 @@ def weather(games: DataFrame, stadiums: DataFrame, archive: DataFrame, neutral:
     return at.withColumns({"is_dome": dome, **{c: F.when(dome, v).otherwise(F.coalesce(c, F.lit(v))) for c, v in neutral.items()}})
 
 
+def starter_quality(games: DataFrame, starts: DataFrame, neutral: float, least: int = 1, last: int = 8) -> DataFrame:
+    """games with home_quality and away_quality: earned runs per start over each starter's ``last`` starts before the game.
+
+    games: game_id. starts: game_id, day, is_home, pitcher, earned, one row for each known start; repeated ones count once
+    (of several starters of a side the first by name). No start before, or no starter: ``neutral``. Games keep their number.
+    """
+    once = joins.first_of(starts, ["game_id", "is_home"], "pitcher", "earned")
+    before = Window.partitionBy("pitcher").orderBy("day", "game_id").rowsBetween(-last, -1)
+    mean = F.when(F.count("earned").over(before) >= least, F.avg("earned").over(before))
+    rolled = once.select("game_id", "is_home", mean.alias("quality"))
+    sides = rolled.groupBy("game_id").agg(*[F.max(F.when(F.col("is_home") == flag, F.col("quality"))).alias(f"{side}_quality") for side, flag in (("home", True), ("away", False))])
+    return games.join(sides, "game_id", "left").withColumns({f"{side}_quality": F.coalesce(f"{side}_quality", F.lit(neutral)) for side in ("home", "away")})
+
+
 def own_side(rows: DataFrame, both: DataFrame, keys: list[str], side: str) -> DataFrame:
     """Rows joined with values of their own side; the other side's rows fall away in the join key."""
     return rows.join(both, [*keys, side])

@@ -9,7 +9,7 @@ from strideline.functions import odds
 from strideline.operators import betting, enrich, log, ratings, research, stats, store
 from strideline.queries_state import _lines
 from strideline.registry import bets, frame, query, rounded, the_log
-from strideline.sources import readers, sinks, tables
+from strideline.sources import readers, sinks, tables, web
 from strideline.sources.scratch import new_folder, written
 from strideline.sql import BASE, BETS, LOG, PREDICTED, with_
 from strideline.streaming import stateful
@@ -36,11 +36,28 @@ def positional_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.positional(spark, [path], ["game", "line_no", "flag"]).select("game", "line_no", "flag")
 
 
-@query(with_(BASE, "select distinct 'G' || event_id as record_id, 'p' || player_id as pitcher, is_home, true as is_start from box where line_no = 1"))
+@query(with_(BASE, "select distinct 'G' || event_id as record_id, 'p' || player_id as pitcher, is_home, line_no = 1 as is_start from box where line_no in (1, 5, 6)"))
 def pitcher_appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starters and relief pitchers of every record."""
     path = new_folder(spark)
-    _lines(spark, sf_dir).write.option("maxRecordsPerFile", 1000).text(path)
-    return readers.appearances(readers.tagged_lines(spark, path)).select("record_id", "pitcher", "is_home", "is_start")
+    _lines(spark, sf_dir).write.text(path)
+    return readers.appearances(readers.tagged_records(spark, path)).select("record_id", "pitcher", "is_home", "is_start")
+
+
+STARTS = """starts as (select event_id as game_id, is_home, 'p' || min(lpad(player_id::varchar, 9, '0')) as pitcher from box where line_no = 1 group by all),
+er as (select event_id as game_id, 'p' || lpad(player_id::varchar, 9, '0') as pitcher, cast(max(pts % 7) as double) as earned from box group by all),
+dated as (select s.*, e.earned, g.game_date from starts s join er e using (game_id, pitcher) join games g using (game_id)),
+rolled as (select game_id, is_home, avg(earned) over (partition by pitcher order by game_date, game_id rows between 8 preceding and 1 preceding) as q from dated)"""
+
+
+@query(with_(BASE, STARTS, "select g.game_id, round(coalesce(max(q) filter (is_home), 2.6), 6) as home_quality, round(coalesce(max(q) filter (not is_home), 2.6), 6) as away_quality from games g left join rolled r using (game_id) group by 1"))
+def starter_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each side's starter by earned runs in up to eight starts before the game; a neutral value where nothing is known."""
+    g = tables.games(spark, sf_dir).select("game_id", F.col("game_date").alias("day"))
+    b = tables.box(spark, sf_dir).select(F.col("event_id").alias("game_id"), "is_home", "line_no", F.concat(F.lit("p"), F.lpad(F.col("player_id").cast("string"), 9, "0")).alias("pitcher"), "pts")
+    earned = b.groupBy("game_id", "pitcher").agg(F.max(F.col("pts") % 7).cast("double").alias("earned"))
+    starts = b.where("line_no = 1").select("game_id", "is_home", "pitcher").join(earned, ["game_id", "pitcher"]).join(g, "game_id")
+    return rounded(enrich.starter_quality(g.select("game_id"), starts, 2.6))
 
 
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,22 +66,50 @@ def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = lambda c: F.struct(F.when(odds.decimal_to_american(c) > 0, F.concat(F.lit("+"), odds.decimal_to_american(c).cast("string"))).otherwise(odds.decimal_to_american(c).cast("string")).alias("odds"))
     quoted = lambda s: F.struct(price(f"{s}_open").alias("open"), price(f"{s}_close").alias("close"))
     side = lambda s: F.struct(F.lit(s).alias("homeAway"), F.col(f"{s}_score").cast("string").alias("score"), F.struct(F.concat(F.lit("T"), F.col(s).cast("string")).alias("abbreviation")).alias("team"), F.array(F.struct(F.struct(F.concat(F.lit("P "), F.col(s).cast("string")).alias("displayName")).alias("athlete"))).alias("probables"))
-    total = F.struct(F.struct(F.struct(F.concat(F.lit("o"), F.col("total_line").cast("string")).alias("line")).alias("close")).alias("over"))
-    odds_ = F.array(F.struct(F.struct(quoted("home").alias("home"), quoted("away").alias("away")).alias("moneyline"), total.alias("total")))
+    at = lambda line, shift, p: F.struct(F.struct(F.lit(str(-108 - shift)).alias("odds"), line(shift).alias("line")).alias("open"), F.struct(F.lit(p).alias("odds"), line(0).alias("line")).alias("close"))
+    spread = lambda sign: lambda shift: F.format_string("%+.1f", sign * (F.col("home_line") + shift))
+    total = lambda mark: lambda shift: F.concat(F.lit(mark), (F.col("total_line") + shift).cast("string"))
+    lines = F.struct(at(spread(1), 1, "-110").alias("home"), at(spread(-1), 1, "EVEN").alias("away"))
+    totals = F.struct(at(total("o"), 2, "-105").alias("over"), at(total("u"), 2, "+102").alias("under"))
+    odds_ = F.array(F.struct(F.struct(quoted("home").alias("home"), quoted("away").alias("away")).alias("moneyline"), lines.alias("pointSpread"), totals.alias("total")))
     game = F.struct(F.col("is_neutral").alias("neutralSite"), F.struct(F.struct((F.col("home_score") > 0).alias("completed")).alias("type")).alias("status"), F.array(side("away"), side("home")).alias("competitors"), odds_.alias("odds"))
     event = F.struct(F.col("game_id").cast("string").alias("id"), F.array(game).alias("competitions"))
-    return g.groupBy("game_date").agg(F.collect_list(event).alias("events")).select(F.to_json(F.struct("events")).alias("value"))
+    return g.groupBy("game_date").agg(F.collect_list(event).alias("events")).select("game_date", F.to_json(F.struct("events")).alias("value"))
 
 
 AMERICAN = "case when {c} >= 2 then round_even(({c} - 1) * 100, 0) when {c} > 1 then round_even(-100 / ({c} - 1), 0) end"
 
 
-@query(with_(BASE, f"select cast(game_id as varchar) as event_id, home_score > 0 as completed, is_neutral, 'T' || home as home_team, cast(home_score as double) as home_score, 'P ' || away as away_probable, {AMERICAN.format(c='home_close')} as home_ml_close, {AMERICAN.format(c='away_open')} as away_ml_open, round(total_line, 6) as total_close from games"))
+FEED_SQL = (
+    "select cast(game_id as varchar) as event_id, home_score > 0 as completed, is_neutral, 'T' || home as home_team, 'T' || away as away_team, cast(home_score as double) as home_score, cast(away_score as double) as away_score, 'P ' || home as home_probable, 'P ' || away as away_probable, "
+    + ", ".join(f"{AMERICAN.format(c=f'{s}_{at}')} as {s}_ml_{at}" for s in ("home", "away") for at in ("open", "close"))
+    + ", round(home_line + 1, 6) as home_line_open, round(home_line, 6) as home_line_close, round(-(home_line + 1), 6) as away_line_open, round(-home_line, 6) as away_line_close"
+    + ", -109.0::double as home_line_odds_open, -110.0::double as home_line_odds_close, -109.0::double as away_line_odds_open, 100.0::double as away_line_odds_close"
+    + ", round(total_line + 2, 6) as total_open, round(total_line, 6) as total_close, -110.0::double as over_odds_open, -105.0::double as over_odds_close, -110.0::double as under_odds_open, 102.0::double as under_odds_close from games"
+)
+
+
+@query(with_(BASE, FEED_SQL))
 def feed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON arrays become rows: sides by their mark, prices and lines as numbers, probable starters."""
+    """JSON arrays become rows: sides by their mark, all prices and lines as numbers, probable starters."""
+    path = new_folder(spark)
+    _feed(spark, sf_dir).select("value").write.text(path)
+    return rounded(readers.feed_events(spark.read.text(path)).drop("starts", "season_type"))
+
+
+def _names(spark: SparkSession, path: str) -> list[dict]:
+    """What a connector is asked for: the documents in a folder, by name."""
+    return [{"name": r[0]} for r in spark.read.text(path).select("_metadata.file_name").distinct().collect()]
+
+
+@query(with_(BASE, FEED_SQL))
+def feed_over_the_web(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoreboards of a month each, fetched by the connector, a partition each; one that isn't there has no events."""
     path = new_folder(spark)
-    _feed(spark, sf_dir).write.text(path)
-    return rounded(readers.feed_events(spark.read.text(path)).select("event_id", "completed", "is_neutral", "home_team", "home_score", "away_probable", "home_ml_close", "away_ml_open", "total_close"))
+    days = _feed(spark, sf_dir).groupBy(F.date_format("game_date", "yyyyMM")).agg(F.concat_ws(",", F.collect_list(F.expr("substring(value, 12, length(value) - 13)"))).alias("events"))
+    days.select(F.concat(F.lit('{"events":['), "events", F.lit("]}")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    found = web.read(spark, web.Documents, f"{web.url_of(path)}/{{name}}", [*_names(spark, path), {"name": "missing"}])
+    return rounded(readers.feed_events(found).drop("starts", "season_type"))
 
 
 @query("select n_nationkey as team, 'S ' || n_nationkey as starter, n_nationkey % 3 = 0 as is_out from nation")
@@ -119,12 +164,22 @@ WEATHER = "w as (select distinct s.lat, s.lon, day, cast((s.team * 7 + dayofyear
 
 @query(with_(BASE, STADIUMS, WEATHER, "select game_id, coalesce(s.is_dome, false) as is_dome, case when s.is_dome then 65.0::double else coalesce(temp, 65.0::double) end as temp, case when s.is_dome then 5.0::double else coalesce(wind, 5.0::double) end as wind from games g left join s on s.team = g.home left join w on w.lat = s.lat and w.lon = s.lon and w.day = g.game_date"))
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weather by rounded place and day from an offline table; domes and gaps get neutral values."""
-    g, key = tables.games(spark, sf_dir), F.col("n_nationkey")
+    """Weather by rounded place and day, fetched by the connector, a partition for each place; domes and gaps get neutral values."""
+    g, key, path = tables.games(spark, sf_dir), F.col("n_nationkey"), new_folder(spark)
     stadiums = tables.table(spark, sf_dir, "nation").select(key.alias("team"), (30 + key / 7).alias("lat"), (-120 + key / 3).alias("lon"), (key % 5 == 0).alias("is_dome"))
-    days = g.select(F.col("game_date").alias("day")).where(F.dayofyear("game_date") % 4 != 0).distinct()
-    archive = stadiums.withColumn("days", F.lit(1)).join(F.broadcast(days.withColumn("days", F.lit(1))), "days").select("lat", "lon", "day", ((F.col("team") * 7 + F.dayofyear("day")) % 90).cast("double").alias("temp"), ((F.col("team") + F.dayofmonth("day")) % 30).cast("double").alias("wind"))
-    return enrich.weather(g.select("game_id", F.col("home").alias("team"), F.col("game_date").alias("day")), stadiums, archive, {"temp": 65.0, "wind": 5.0}).select("game_id", "is_dome", "temp", "wind")
+    # The archive's document of a place: every day of the games' range but some, as the service would give it.
+    low, high = g.agg(F.min("game_date"), F.max("game_date")).first()
+    days = F.filter(F.sequence(F.lit(low), F.lit(high)), lambda d: F.dayofyear(d) % 4 != 0)
+    daily = F.struct(
+        F.transform(days, lambda d: d.cast("string")).alias("time"),
+        F.transform(days, lambda d: ((F.col("team") * 7 + F.dayofyear(d)) % 90).cast("double")).alias("temperature_2m_max"),
+        F.transform(days, lambda d: ((F.col("team") + F.dayofmonth(d)) % 30).cast("double")).alias("wind_speed_10m_max"),
+    )
+    stadiums.select("lat", "lon", F.to_json(F.struct(daily.alias("daily"))).alias("value")).repartition("lat", "lon").write.partitionBy("lat", "lon").option("maxRecordsPerFile", 1).text(path)
+    files = spark.read.option("basePath", path).text(path).select("lat", "lon", F.col("_metadata.file_path").alias("url")).distinct().collect()
+    archive = web.read(spark, web.Weather, "{url}", [{"lat": r["lat"], "lon": r["lon"], "url": r["url"]} for r in files])
+    values = archive.select("lat", "lon", "day", F.col("temp_max").alias("temp"), "wind")
+    return enrich.weather(g.select("game_id", F.col("home").alias("team"), F.col("game_date").alias("day")), stadiums, values, {"temp": 65.0, "wind": 5.0}).select("game_id", "is_dome", "temp", "wind")
 
 
 @query(with_(LOG, "p as (select event_id as game_id, is_home, cast(sum(pts) as bigint) as pts from box group by all)", "select l.game_id, l.team, l.is_home, p.pts from log l join p on p.game_id = l.game_id and p.is_home = l.is_home"))

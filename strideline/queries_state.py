@@ -209,26 +209,24 @@ def feature_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tagged-record text of every game with box lines: what an event file holds."""
-    b = tables.box(spark, sf_dir)
-    person = F.concat(F.lit("start,p"), F.col("player_id").cast("string"), F.lit(",name,"), F.col("is_home").cast("int").cast("string"), F.lit(",9,"), F.col("line_no").cast("string"))
+    """A tagged-record text of every game with box lines: what an event file holds. The fifth and sixth lines are relief pitchers."""
+    b, line = tables.box(spark, sf_dir), F.col("line_no")
+    tag = F.when(line < 5, F.lit("start")).otherwise("sub")
+    place = F.when(line < 5, line).when(line < 7, 1).otherwise(4)
+    person = F.concat(tag, F.lit(",p"), F.col("player_id").cast("string"), F.lit(',"name, first",'), F.col("is_home").cast("int").cast("string"), F.lit(",9,"), place.cast("string"))
     earned = F.concat(F.lit("data,er,p"), F.col("player_id").cast("string"), F.lit(","), (F.col("pts") % 7).cast("string"))
     each = b.groupBy("event_id").agg(F.sort_array(F.collect_set(person)).alias("people"), F.sort_array(F.collect_set(earned)).alias("earned"))
     return each.select(F.array_join(F.concat(F.array(F.concat(F.lit("id,G"), F.col("event_id").cast("string")), F.lit("info,site,park")), "people", "earned"), "\n").alias("value"))
 
 
-#: Records in one tagged text: a file is read as one value.
-RECORDS = 1000
-
-
 STARTED = "st as (select event_id, 'p' || player_id as pitcher, is_home from box where line_no = 1), home as (select event_id, max(pitcher) as pitcher from st where is_home group by 1), away as (select event_id, max(pitcher) as pitcher from st where not is_home group by 1), er as (select event_id, 'p' || player_id as pitcher, max(pts % 7) as er from box group by all)"
 
 
 @query(with_(BASE, STARTED, "select 'G' || i.event_id as record_id, h.pitcher as home_starter, a.pitcher as away_starter, cast(x.er as double) as home_er, cast(y.er as double) as away_er from (select distinct event_id from box) i left join home h using (event_id) left join away a using (event_id) left join er x on x.event_id = i.event_id and x.pitcher = h.pitcher left join er y on y.event_id = i.event_id and y.pitcher = a.pitcher"))
 def tagged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{new_folder(spark)}/tagged"
-    _lines(spark, sf_dir).write.option("maxRecordsPerFile", RECORDS).text(path)
-    return readers.starters(readers.tagged_lines(spark, path)).select("record_id", "home_starter", "away_starter", "home_er", "away_er")
+    _lines(spark, sf_dir).write.text(path)
+    return readers.starters(readers.tagged_records(spark, path)).select("record_id", "home_starter", "away_starter", "home_er", "away_er")
 
 
 @query(with_(BASE, "select game_id, market_side, round(arg_min(price, ts), 6) as open, round(arg_max(price, ts), 6) as close from ticks group by all"))

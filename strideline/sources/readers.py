@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,44 +28,45 @@ def positional(spark: SparkSession, paths: list[str], names: list[str]) -> DataF
     return rows.select(*[F.coalesce(n, F.lit("")).alias(n) for n in names], F.col("_metadata.file_path").alias("file"))
 
 
-def tagged_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Lines of tagged-record files: file, record (counted by ``id`` lines), line, tag, fields.
+# Tags of the lines of an event file.
+TAGS = ("version", "info", "start", "play", "sub", "com", "data", "badj", "padj", "ladj", "radj", "presadj")
 
-    A file is one text, so its lines keep their order wherever files are read.
+
+def tagged_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, record_id and lines (each an array of fields) of each record of tagged-record files.
+
+    A record begins with an ``id`` line, and files are split there: a file of any size is read by many tasks, a record is
+    one row, and nothing is shuffled. Lines before the first record are left out; commas within quotes don't part fields.
     """
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
-    lines = files.where(F.trim("text") != "").withColumn("fields", F.split("text", ",")).withColumn("tag", F.element_at("fields", 1))
-    record = F.sum((F.col("tag") == "id").cast("int")).over(Window.partitionBy("file").orderBy("line"))
-    return lines.withColumn("record", record).where("record > 0").select("file", "record", "line", "tag", F.transform("fields", lambda x: F.trim(F.regexp_replace(x, '^"|"$', ""))).alias("fields"))
-
-
-def starters(lines: DataFrame) -> DataFrame:
-    """One row per record: its id, info values, the starting pitcher of each side (position 1) and earned runs."""
-    f = lambda i: F.get("fields", F.lit(i))
-    start = (F.col("tag") == "start") & (f(5) == "1")
-    # Of a repeated key the last line counts.
-    key = F.when(F.col("tag") == "info", f(1)).when((F.col("tag") == "data") & (f(1) == "er"), f(2))
-    last = F.col("line") == F.max("line").over(Window.partitionBy("file", "record", "tag", "key"))
-    lines = lines.withColumn("key", key).withColumn("last", last & F.col("key").isNotNull())
-    info = F.map_from_entries(F.collect_list(F.when(F.col("last") & (F.col("tag") == "info"), F.struct("key", f(2)))))
-    earned = F.map_from_entries(F.collect_list(F.when(F.col("last") & (F.col("tag") == "data"), F.struct("key", rules.number(f(3))))))
-    out = lines.groupBy("file", "record").agg(
-        F.max(F.when(F.col("tag") == "id", f(1))).alias("record_id"),
-        info.alias("info"),
-        F.max(F.when(start & (f(3) == "0"), f(1))).alias("away_starter"),
-        F.max(F.when(start & (f(3) == "1"), f(1))).alias("home_starter"),
-        earned.alias("earned"),
-    )
-    return out.withColumns({f"{side}_er": F.try_element_at("earned", F.col(f"{side}_starter")) for side in ("home", "away")})
-
-
-def appearances(lines: DataFrame) -> DataFrame:
-    """Many rows per record: every pitcher who starts or comes in, by side, in order."""
-    f = lambda i: F.get("fields", F.lit(i))
-    record_id = F.max(F.when(F.col("tag") == "id", f(1))).over(Window.partitionBy("file", "record"))
-    pitched = F.col("tag").isin("start", "sub") & (f(5) == "1")
-    rows = lines.withColumn("record_id", record_id).where(pitched)
-    return rows.select("file", "record", "record_id", "line", f(1).alias("pitcher"), (f(3) == "1").alias("is_home"), (F.col("tag") == "start").alias("is_start"))
+    rows = spark.read.option("lineSep", "\nid,").text(paths).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^id,", "").alias("value"))
+    lines = F.filter(F.split("value", r"\r?\n|\r$"), lambda x: F.trim(x) != "")
+    fields = lambda line: F.transform(F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda x: F.trim(F.regexp_replace(F.trim(x), '^"|"$', "")))
+    rows = rows.select("file", F.transform(lines, fields).alias("lines")).withColumn("record_id", F.get(F.get("lines", F.lit(0)), F.lit(0)))
+    return rows.where(F.col("record_id").isNotNull() & ~F.col("record_id").isin(*TAGS)).select("file", "record_id", F.expr("slice(lines, 2, greatest(size(lines) - 1, 0))").alias("lines"))
+
+
+def _at(line: Column, i: int) -> Column:
+    return F.get(line, F.lit(i))
+
+
+def starters(records: DataFrame) -> DataFrame:
+    """One row per record: its id, info values, the starting pitcher of each side (position 1) and earned runs. Of a repeated key the last line counts."""
+    infos = F.filter("lines", lambda x: _at(x, 0) == "info")
+    info = F.map_from_entries(F.transform(F.array_distinct(F.transform(infos, lambda x: _at(x, 1))), lambda k: F.struct(k, _at(F.element_at(F.filter(infos, lambda x: _at(x, 1) == k), -1), 2))))
+    rows = records.select("file", "record_id", "lines", info.alias("info"))
+    for side, mark in (("home", "1"), ("away", "0")):
+        began = F.filter("lines", lambda x: (_at(x, 0) == "start") & (_at(x, 5) == "1") & (_at(x, 3) == mark))  # noqa: B023
+        rows = rows.withColumn(f"{side}_starter", F.array_max(F.transform(began, lambda x: _at(x, 1))))
+        earned = F.filter("lines", lambda x: (_at(x, 0) == "data") & (_at(x, 1) == "er") & (_at(x, 2) == F.col(f"{side}_starter")))  # noqa: B023
+        rows = rows.withColumn(f"{side}_er", rules.number(_at(F.try_element_at(earned, F.lit(-1)), 3)))
+    return rows.drop("lines")
+
+
+def appearances(records: DataFrame) -> DataFrame:
+    """Many rows per record: every pitcher who starts or comes in, by side, in the order of lines."""
+    rows = records.select("file", "record_id", F.posexplode("lines").alias("line", "x"))
+    rows = rows.where(_at(F.col("x"), 0).isin("start", "sub") & (_at(F.col("x"), 5) == "1"))
+    return rows.select("file", "record_id", "line", _at(F.col("x"), 1).alias("pitcher"), (_at(F.col("x"), 3) == "1").alias("is_home"), (_at(F.col("x"), 0) == "start").alias("is_start"))
 
 
 _PRICE = "struct<open:struct<odds:string,line:string>,close:struct<odds:string,line:string>>"
