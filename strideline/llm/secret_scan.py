@@ -33,6 +33,8 @@ ANY = rf"{KEY_ID}|(?=[A-Za-z_+/.\-]*[0-9]){TOKEN}{{16,}}|(?i:{_FOR})[a-z_]*[\"']
 BLOCK = r"-----BEGIN [A-Z ]+-----[\s\S]*?(-----END [A-Z ]+-----|$)"
 TREES, DEPTH, SEED, THRESHOLD = 15, 7, 1, 0.5
 FINDING = "[SECRET]"
+#: What a finding can't have beside it: the characters that are never trimmed from its ends.
+BEFORE, AFTER = "(?<![A-Za-z0-9+/_-])", "(?![A-Za-z0-9+/_=-])"
 
 FEATURES = "length digits upper lower hex transitions distinct covered prefix said_for assigned said_against slashes dots at_sign numeric uuid test_path private".split()
 
@@ -187,10 +189,13 @@ def findings(docs: DataFrame, path: str | None = "source") -> DataFrame:
 
 
 def redact(docs: DataFrame, path: str | None = "source") -> DataFrame:
-    """docs with every secret replaced by a mark, and n_chars to match where there is such a column; no row goes."""
+    """docs with every secret replaced by a mark wherever it stands as a whole value, and n_chars to match where there is such a column; no row goes."""
     scored = _scored(docs, path)
-    secrets = F.expr(f"array_distinct(transform(filter(scan, x -> x.score >= {THRESHOLD}), x -> x.finding))")  # blocks stand first
-    out = scored.withColumn("secrets", secrets).withColumn("clean", F.aggregate("secrets", F.col("text"), lambda t, s: F.replace(t, s, F.lit(FINDING))))
+    # Longest first, so that none is left as the rest of another; blocks are longer than what they hold.
+    secrets = F.expr(f"array_sort(array_distinct(transform(filter(scan, x -> x.score >= {THRESHOLD}), x -> x.finding)), (a, b) -> case when length(a) <> length(b) then length(b) - length(a) when a < b then -1 when a > b then 1 else 0 end)")
+    alone = lambda s: F.concat(F.lit(BEFORE + "\\Q"), F.replace(s, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E" + AFTER))
+    hidden = lambda t, s: F.when(F.startswith(s, F.lit("-----BEGIN")), F.replace(t, s, F.lit(FINDING))).otherwise(F.regexp_replace(t, alone(s), F.lit(FINDING)))
+    out = scored.withColumn("secrets", secrets).withColumn("clean", F.aggregate("secrets", F.col("text"), hidden))
     changed = F.size("secrets") > 0
     columns = {c: F.col("row").getField(c) for c in docs.columns}
     columns["text"] = F.when(changed, F.col("clean")).otherwise(columns["text"])
