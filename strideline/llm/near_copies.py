@@ -17,7 +17,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideline.llm import simhash_dedup
@@ -47,12 +47,13 @@ def band_keys(members: np.ndarray) -> np.ndarray:
     return ((least ^ (least >> np.uint64(29))) * _MIX).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def _node() -> Column:
-    return F.xxhash64("text").alias("node")
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, rk (a hash of id and text), name (128 bits of the text) and text of each row."""
+    return texts(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), F.unhex(F.md5("text")).alias("name"), "text")
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node (of the text), fp and keys of each row."""
+    """doc_id, rk, name (of the text), fp and keys of each row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,18 +63,26 @@ def signatures(docs: DataFrame) -> DataFrame:
                 fp = np.array([simhash_dedup.fingerprint(x) for x in each], np.uint64).view(np.int64)
                 keys = pa.array([band_keys(shingle_set(x)) for x in each], pa.list_(pa.int64()))
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(fp), keys], ["doc_id", "node", "fp", "keys"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "rk", "name")), pa.array(fp), keys], ["doc_id", "rk", "name", "fp", "keys"])
 
-    rows = texts(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", _node(), "text")
-    return rows.mapInArrow(tidy(scan), "doc_id long, node long, fp long, keys array<long>")
+    return _rows(docs).mapInArrow(tidy(scan), "doc_id long, rk long, name binary, fp long, keys array<long>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of each node that a row was found for, once for a task: a row found by its key alone may be another text."""
+    seen: set[int] = set()
     for batch in batches:
         at, data = text_bytes(batch.column("text"))
+        nodes, same = batch.column("node").to_pylist(), batch.column("same").to_pylist()
         for lo, hi in chunks(at, CHUNK):
-            found = [shingle_set(data[a:b]).tobytes() for a, b in pairwise(at[lo : hi + 1].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), pa.array(found, pa.binary())], ["node", "members"])
+            found = []
+            for i, (a, b) in enumerate(pairwise(at[lo : hi + 1].tolist()), lo):
+                if same[i] and nodes[i] not in seen:
+                    seen.add(nodes[i])
+                    found.append((nodes[i], shingle_set(data[a:b]).tobytes()))
+            if found:
+                node, members = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(members, pa.binary())], ["node", "members"])
 
 
 def set_links(node: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -119,16 +128,21 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def links(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes, of the signatures in ``table``, that are similar enough."""
-    distinct = table.select("node", "keys").dropDuplicates(["node"])
+#: Nodes (about 50 bytes each) that are broadcast to find their texts; more are joined by a shuffle.
+WANTED = 500_000
+
+
+def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """nodes: node, name, rk, keys of each distinct text. Links (a, b) between nodes that are similar enough."""
     w = Window.partitionBy("key")
-    shared = distinct.select("node", F.explode("keys").alias("key")).select("node", F.count(F.lit(1)).over(w).alias("n"), F.bit_xor(F.xxhash64("node")).over(w).alias("all"))
+    shared = nodes.select("node", F.explode("keys").alias("key")).select("node", F.count(F.lit(1)).over(w).alias("n"), F.bit_xor(F.xxhash64("node")).over(w).alias("all"))
     # Buckets with the same members are one.
     keyed = written(shared.where("n > 1").select("node", F.xxhash64("all", "n").alias("key")).distinct())
-    whole = texts(docs).select(_node(), "text").groupBy("node").agg(F.first("text").alias("text"))
-    wanted = whole.join(keyed.select("node").distinct().hint("shuffle_hash"), "node", "left_semi")
-    sets = written(wanted.select("node", "text").mapInArrow(tidy(_sets), "node long, members binary"))
+    wanted = written(nodes.join(keyed.select("node").distinct(), "node", "left_semi").select("node", F.col("name").alias("named"), "rk"))
+    wanted = F.broadcast(wanted) if wanted.count() <= WANTED else wanted
+    # Of each text in a shared bucket one row is read again; no other text leaves its place.
+    found = _rows(docs).join(wanted, "rk").select("node", (F.col("name") == F.col("named")).alias("same"), "text")
+    sets = written(found.mapInArrow(tidy(_sets), "node long, members binary"))
     rows = simhash_dedup.dealt(keyed, "node", BLOCK).join(sets, "node").select("key", "node", "members")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_verify), "a long, b long")
 
@@ -136,18 +150,20 @@ def links(docs: DataFrame, table: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id and component_id (smallest doc_id reachable by either kind of link) of each row."""
     table = written(signatures(docs))
-    nodes = table.groupBy("node", "fp").agg(F.min("doc_id").alias("least"))
-    first = components(simhash_dedup.links(table.select("fp").distinct())).withColumnRenamed("node", "fp")
+    same = table.groupBy("name").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = written(same.withColumn("node", F.monotonically_increasing_id()))
+    first = components(simhash_dedup.links(nodes.select("fp").distinct())).withColumnRenamed("node", "fp")
     rooted = written(nodes.join(first, "fp", "left").select("node", "least", F.coalesce("root", "fp").alias("group")))
     group = rooted.select("node", "group")
-    pairs = links(docs, table)
+    pairs = links(docs, nodes)
     for end in ("a", "b"):
         pairs = pairs.join(group.select(F.col("node").alias(end), F.col("group").alias(f"group_{end}")), end)
     with small_batches(docs.sparkSession, BATCH):
         ends = written(pairs.select(F.col("group_a").alias("a"), F.col("group_b").alias("b")).distinct())
     second = components(ends).withColumnRenamed("node", "group")
     whole = rooted.join(second, "group", "left").select("node", "least", F.coalesce("root", "group").alias("root"))
-    return table.select("doc_id", "node").join(named(whole), "node").select("doc_id", "component_id")
+    of_text = nodes.select("name", "node").join(named(whole), "node").select("name", "component_id")
+    return table.select("doc_id", "name").join(of_text, "name").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

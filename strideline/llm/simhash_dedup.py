@@ -167,11 +167,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_groups) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their group of near copies; of rows with one id, one.
 
-    A row without an id counts as one with a larger id than all others, named by its text: it goes if its group has a
+    A row without an id counts as one with a larger id than all others, one for each text: it goes if its group has a
     row with an id, and of a group without any ids one row stays.
     """
-    unnamed = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("doc_id"), "text")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    without = rows.where("doc_id is null")
+    if not without.select("doc_id").isEmpty():
+        name = F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("name")
+        numbers = written(without.select(name).distinct().withColumn("number", F.lit(1 << 62) + F.monotonically_increasing_id()))
+        without = without.select("row", "text", name).join(numbers, "name").select("row", F.col("number").alias("doc_id"), "text")
+        rows = rows.where("doc_id is not null").unionByName(without)
     kept = written(groups(rows).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
     # The kept ids grow with the corpus: they are hashed on their side of a shuffle at any size, and texts are never sorted.
     once = rows.join(kept.where("n = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select("row.*")
