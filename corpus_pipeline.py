@@ -1,4 +1,10 @@
-"""Corpus pipeline: quality, near copies, benchmark leaks, secrets, packing. Each stage's result is written and read again."""
+"""Corpus pipeline: quality, near copies, benchmark leaks, secrets, packing. Each stage's result is written and read again.
+
+Nulls in any column are kept; a null text counts as an empty one, is scored like it and packed as its end alone. Null and
+empty texts are copies of each other. Rows without an id are copies like any other and never name a group. Of repeated
+rows one stays. Very long texts are read whole. An empty table gives empty results of the same columns, and columns beside
+those of documents, whatever their names, are passed on by all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -9,12 +15,12 @@ from strideline.llm.common import documents, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labels of the corpus."""
+    """Documents that the quality classifier accepts; it learns from the labels of the corpus, by bounded samples. Equal texts have one fate."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies the document with the smallest id stays; of repeated rows one."""
     return near_copies.keep_one(docs)
 
 
@@ -24,7 +30,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in a text are replaced by a mark; every document stays."""
+    """Secrets in a text are replaced by a mark and n_chars follows; every document stays, null texts too."""
     return secret_scan.redact(docs)
 
 
