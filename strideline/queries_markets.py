@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strideline.functions import rules
-from strideline.operators import betting, joins, log, parlays, stats
+from strideline.operators import betting, joins, log, parlays, stars, stats
 from strideline.plans import serving
 from strideline.registry import bets, frame, opps, query, r6, rounded, the_log
 from strideline.sources import tables
@@ -321,3 +321,20 @@ def star_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = b.groupBy("event_id", "player_id").agg(F.avg("pts").alias("pts")).join(b.groupBy("event_id").agg(F.min("day").alias("day")), "event_id")
     w = Window.partitionBy("player_id").orderBy("day", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     return rounded(d.withColumn("before", F.avg("pts").over(w)).groupBy("player_id").agg(F.avg("pts").alias("mean_pts"), F.avg("before").alias("mean_before"), F.count(F.lit(1)).alias("n")))
+
+
+STARS = """played as (select l.game_id, l.is_home, l.team, l.opponent, l.season, l.game_date, b.player_id, sum(b.minutes) as minutes, sum(b.pts) as pts from log l join box b on b.event_id = l.game_id and b.is_home = l.is_home group by all),
+best as (select team, season + 1 as season, player_id as star from (select *, row_number() over (partition by team, season order by m desc, player_id) as k from (select team, season, player_id, sum(minutes) as m from played group by all)) where k = 1),
+asked as (select l.game_id, l.is_home, l.opponent, l.game_date, star from log l left join best using (team, season))"""
+
+
+@query(with_(LOG, STARS, "select game_id, is_home, round(case when h >= 10 and a >= 10 then hm - am else 0 end, 6) as venue_gap from (select q.game_id, q.is_home, count(*) filter (p.is_home) as h, count(*) filter (not p.is_home) as a, avg(p.pts) filter (p.is_home) as hm, avg(p.pts) filter (not p.is_home) as am from asked q left join played p on p.player_id = q.star and p.game_date < q.game_date group by all)"))
+def star_venue_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    the = the_log(spark, sf_dir)
+    return rounded(stars.venue_gap(the, stars.player_games(tables.box(spark, sf_dir), the)))
+
+
+@query(with_(LOG, STARS, "select q.game_id, q.is_home, round(coalesce(avg(p.pts), 20), 6) as trail, count(p.pts) as meetings from asked q left join played p on p.player_id = q.star and p.opponent = q.opponent and p.game_date < q.game_date group by all"))
+def star_opponent_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    the = the_log(spark, sf_dir)
+    return rounded(stars.opponent_trail(the, stars.player_games(tables.box(spark, sf_dir), the), 20.0))

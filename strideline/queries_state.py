@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strideline.operators import log, models, ratings, research, store
 from strideline.plans import build, serving
 from strideline.registry import bets, frame, query, rounded, the_log
-from strideline.sources import readers, sinks, tables
+from strideline.sources import cache, readers, sinks, tables
 from strideline.sources.scratch import new_folder, written
 from strideline.sql import BASE, BETS, LOG, PREDICTED, with_
 from strideline.streaming import stateful
@@ -118,6 +118,17 @@ def incremental_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.missing_keys(venues, venues.where("venue_id % 3 = 0"), "venue_id")
 
 
+@query(with_(BASE, "p as (select event_id, cast(sum(pts) as bigint) as pts, cast(sum(minutes) as bigint) as minutes from box group by 1)", "select g.game_id, p.pts, p.minutes from games g join p on p.event_id = g.game_id"))
+def incremental_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box sums by game, cached over three refreshes: early seasons, all seasons, and one that comes again."""
+    g = tables.games(spark, sf_dir).select("game_id", "season")
+    sums = tables.box(spark, sf_dir).groupBy(F.col("event_id").alias("game_id")).agg(F.sum("pts").alias("pts"), F.sum("minutes").alias("minutes"))
+    cached = cache.Cache(spark, new_folder(spark), "game_id long, pts long, minutes long", "game_id")
+    for batch, wanted in (("early", g.where("season < 1996")), ("all", g), ("early", g)):
+        cached.refresh(batch, wanted, lambda missing: missing.join(sums, "game_id").select("game_id", "pts", "minutes"))
+    return cached.read()
+
+
 # ---------------------------------------------------------------- ratings and models: no SQL, tests hold them against plain Python
 
 
