@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideline.functions import rules
+from strideline.operators import order
 from strideline.operators.log import play_order, team_window
 
 PRIOR = (Window.unboundedPreceding, -1)
@@ -89,14 +90,14 @@ def plateau(rows: DataFrame, keys: list[str], day: str, counter: str) -> DataFra
     return top.withColumn("plateau_day", F.min(F.when(F.col(counter) == F.col("_top"), F.col(day))).over(w)).withColumn("is_beyond", F.col(day) > F.col("plateau_day")).drop("_top")
 
 
-def week_of_season(day: Column, keys: list[str]) -> Column:
-    return (F.floor(F.date_diff(day, F.min(day).over(Window.partitionBy(*keys))) / 7) + 1).cast("int")
+def season_weeks(games: DataFrame) -> DataFrame:
+    """games with week (from the season's first day) and week_adjusted: postseason games get the last regular week plus one.
 
-
-def adjusted_week(games: DataFrame) -> DataFrame:
-    """Postseason games get the last regular week plus one."""
-    last = F.max(F.when(~F.col("is_playoff"), F.col("week"))).over(Window.partitionBy("season"))
-    return games.withColumn("week_adjusted", F.when(F.col("is_playoff"), last + 1).otherwise(F.col("week")))
+    The bounds of seasons are an aggregate of one row a season, so no task holds a season.
+    """
+    week = lambda day: (F.floor(F.date_diff(day, "_first") / 7) + 1).cast("int")
+    out = games.join(F.broadcast(order.season_bounds(games)), "season").withColumn("week", week("game_date"))
+    return out.withColumn("week_adjusted", F.when(F.col("is_playoff"), week("_regular") + 1).otherwise(F.col("week"))).drop("_first", "_regular")
 
 
 def travel(log: DataFrame, venue: str, rest: int = 1) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideline.operators import order
+
 def play_order() -> list[str | Column]:
     """The order of a team's games: on the same day home rows first, then by game."""
     return ["game_date", F.desc("is_home"), "game_id"]
@@ -33,9 +35,6 @@ def wide(log: DataFrame, values: list[str]) -> DataFrame:
     return log.groupBy("game_id").agg(*[F.max(F.when(F.col("is_home") == flag, F.col(v))).alias(f"{name}_{v}") for flag, name in ((True, "home"), (False, "away")) for v in values])
 
 
-def ordinal_ids(rows: DataFrame, league: str, *order: str) -> DataFrame:
-    """``<league>_<ordinal>`` ids in a total order, counted within each season plus the seasons before it."""
-    counts = rows.groupBy("season").agg(F.count(F.lit(1)).alias("n"))
-    base = counts.select("season", F.coalesce(F.sum("n").over(Window.orderBy("season").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    place = F.row_number().over(Window.partitionBy("season").orderBy(*order)) - 1
-    return rows.withColumn("_place", place).join(F.broadcast(base), "season").withColumn("ordinal", F.col("base") + F.col("_place")).withColumn("ordinal_id", F.concat(F.lit(f"{league}_"), F.col("ordinal").cast("string"))).drop("_place", "base")
+def ordinal_ids(rows: DataFrame, league: str, *by: str) -> DataFrame:
+    """``<league>_<ordinal>`` ids in the total order of season and ``by``."""
+    return order.ranked(rows, "ordinal", "season", *by).withColumn("ordinal_id", F.concat(F.lit(f"{league}_"), F.col("ordinal").cast("string")))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strideline.operators import order
+from strideline.sources.scratch import written
+
 
 def fit(frame: DataFrame, pairs: dict[str, tuple[str, str]], *keys: str) -> DataFrame:
     """Correlation and mean absolute error of each named (actual, predicted) pair, by keys; null correlation under 5 rows."""
@@ -19,11 +22,11 @@ def regression(frame: DataFrame, y: str, x: str, *keys: str) -> DataFrame:
 
 def calibration(frame: DataFrame, probability: str, outcome: str, bins: int = 10) -> DataFrame:
     """Right-closed quantile bins with equal edges merged: size, mean prediction, actual rate, mean absolute error."""
-    cuts = [i / bins for i in range(bins + 1)]
-    edges = frame.agg(F.array_distinct(F.percentile(probability, F.array(*[F.lit(c) for c in cuts]))).alias("edges"))
+    frame = written(frame.select(probability, outcome))
+    edges = sorted(set(order.quantiles(frame, probability, [i / bins for i in range(bins + 1)])))
     p = F.col(probability)
-    inner = F.slice("edges", 2, F.size("edges") - 2)
-    cut = frame.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter(inner, lambda e: e < p)))
+    # A value equal to an edge is in the bin that the edge closes.
+    cut = frame.withColumn("bin", sum(((p > e).cast("int") for e in edges[1:-1]), F.lit(0)))
     return cut.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_pred"), F.avg(F.col(outcome).cast("double")).alias("actual_rate"), F.avg(F.abs(p - F.col(outcome))).alias("mean_abs_err"))
 
 

@@ -235,8 +235,7 @@ def plateau_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(BASE, "select game_id, week, cast(case when is_playoff then max(case when not is_playoff then week end) over (partition by season) + 1 else week end as int) as week_adjusted from (select *, cast((game_date - min(game_date) over (partition by season)) // 7 + 1 as int) as week from games)"))
 def season_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = tables.games(spark, sf_dir).withColumn("week", form.week_of_season(F.col("game_date"), ["season"]))
-    return form.adjusted_week(g).select("game_id", "week", "week_adjusted")
+    return form.season_weeks(tables.games(spark, sf_dir)).select("game_id", "week", "week_adjusted")
 
 
 @query(with_(LOG, f"select game_id, team, is_home, coalesce(venue <> lag(venue) over ({TEAM}) and game_date - lag(game_date) over ({TEAM}) <= 1, false) as short_rest_travel from (select *, case when is_home then team else opponent end as venue from log)"))
