@@ -27,7 +27,7 @@ from strideline.llm.common import WHITE, chunks, text_bytes, texts, tidy, writte
 
 CAPACITY, END = 4096, 1
 #: Text bytes that are tokenised at once, words that a worker remembers, and rows of a salted rank window.
-CHUNK, REMEMBER, SALT_ROWS = 1 << 21, 700_000, 200_000
+CHUNK, REMEMBER, SALT_ROWS = 1 << 20, 250_000, 200_000
 #: A special token of the vocabulary.
 BETWEEN = "<|endoftext|>"
 
