@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from strideline.llm.quality import Trees, flatten_tree
 
 # Element names of HTML, and words that pages use for classes, ids and roles.
-SKIPPED = "script style template noscript textarea svg math iframe object title select button".split()
+SKIPPED = "script style template noscript textarea title select button".split()
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody tfoot thead tr ul".split())
 CONTAINERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section search table td th ul".split())
 SPACED = frozenset("br td th wbr img input".split())
@@ -185,6 +185,14 @@ LAYOUTS = """
 11 <h2>{5}</h2><p>{45}</p>
 1 <p>{60}</p>
 00 <p>[2] [3]</p><p>{6}</p>
+
+1 <div><p>{80}</p>
+0 <div>[1] [1]</div>
+1 <p>{60}</p></div>
+
+11 <div><p>{60}</p><p>{40}</p>
+0 <p>[2] [1]</p>
+11 <p>{70}</p><p>{30}</p></div>
 """
 
 

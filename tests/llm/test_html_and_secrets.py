@@ -99,6 +99,30 @@ def test_pages_of_the_corpus(spark, sf):
         assert out[r["page_id"]]["text"] == "\n\n".join(p for p in parts if p)
 
 
+def test_neighbours_carry_verdicts_on_pages(spark, sf):
+    """What containers say is not enough: without the neighbours' words and links verdicts on the pages change. Without any
+    marks (names of elements, classes, ids, roles) a third of the pages still give the same text."""
+    tree = html_extract.train(spark)
+    pages = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    x = np.concatenate([html_extract.features(html_extract.blocks(p)) for p in pages])
+    alone = x.copy()
+    alone[:, [i for i, f in enumerate(html_extract.FEATURES) if "before" in f or "after" in f]] = 0
+    changed = (tree.score(x) > 0.5) != (tree.score(alone) > 0.5)
+    assert changed.mean() > 0.1
+    bare = [re.sub(r"<(/?)(article|main|nav|header|footer|aside|section|form)\b[^>]*>", r"<\1div>", re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*')", "", p), flags=re.I) for p in pages]
+    same = [a == b for a, b in zip(html_extract.main_texts(bare, tree), html_extract.main_texts(pages, tree), strict=True)]
+    assert sum(same) >= 0.3 * len(same)
+
+
+def test_links_between_paragraphs_and_formulas(spark):
+    tree = html_extract.train(spark)
+    words = lambda n: " ".join(["word"] * n)
+    page = f"<div><p>{words(80)}</p><div><a href=/>Home</a> <a href=/>About</a></div><p>{words(60)}</p></div>"
+    assert html_extract.main_texts([page], tree) == [f"{words(80)}\n\n{words(60)}"]
+    page = f"<article><h1>A title</h1><p>{words(30)}</p><p>so <math><mi>x</mi></math> is <svg><title>no</title><text>y</text></svg> {words(30)}</p></article>"
+    assert html_extract.main_texts([page], tree) == [f"A title\n\n{words(30)}\n\nso x is y {words(30)}"]
+
+
 def test_pages_with_clashing_columns(spark):
     table = spark.createDataFrame([(1, "u", "<p>x</p>", "a", 2, "b", 3)], "page_id long, url string, html string, text string, n_chars int, words string, says int")
     assert html_extract.extract(table.unionAll(table)).columns == ["page_id", "url", "text", "n_chars"] and html_extract.extract(table.unionAll(table)).count() == 2
