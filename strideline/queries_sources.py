@@ -155,6 +155,27 @@ def versioned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.read_version(spark, path, 2)
 
 
+@query(with_(BASE, """select cast(season as varchar) as run, '{"games": ' || count(*) || ', "last": "' || max(game_date) || '", "points": ' || sum(home_score) || ', "run": "' || season || '"}' as line from games group by season"""))
+def run_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest line of each season's build."""
+    made = tables.games(spark, sf_dir).groupBy("season").agg(F.count(F.lit(1)).alias("games"), F.max("game_date").alias("last"), F.sum("home_score").alias("points"))
+    lines = [(str(r["season"]), sinks.manifest(str(r["season"]), {k: r[k] for k in ("games", "last", "points")})) for r in made.collect()]
+    return spark.createDataFrame(lines, "run string, line string")
+
+
+REPORT = """t as (select season, count(*) as games, avg(home_line) as mean_line from games where home_line is not null or season > 1996 group by 1),
+body as (select row_number() over (order by season) + 6 as place, '| ' || season || ' | ' || games || ' | ' || coalesce(format('{:.3f}', mean_line), '–') || ' |' as line from t)"""
+
+
+@query(with_(BASE, REPORT, "select cast(place as int) as place, line from body union all select * from (values (1, '# Seasons'), (2, ''), (3, '## Lines'), (4, ''), (5, '| season | games | mean_line |'), (6, '| - | - | - |')) h(place, line)"))
+def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of a summary table, line by line."""
+    g = tables.games(spark, sf_dir).where("home_line is not null or season > 1996")
+    table = g.groupBy("season").agg(F.count(F.lit(1)).alias("games"), F.avg("home_line").alias("mean_line")).orderBy("season")
+    lines = sinks.markdown("Seasons", {"Lines": table}).splitlines()
+    return spark.createDataFrame([(i, x) for i, x in enumerate(lines, 1)], "place int, line string")
+
+
 # ---------------------------------------------------------------- enrichment
 
 
