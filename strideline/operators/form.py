@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,10 +71,17 @@ def calendar_sum(rows: DataFrame, keys: list[str], day: str, value: str, days: i
 
 
 def densified(rows: DataFrame, keys: list[str], day: str, value: str) -> DataFrame:
-    """One row for each key and calendar day between its first and last, missing days as 0."""
-    spans = rows.groupBy(*keys).agg(F.min(day).alias("_a"), F.max(day).alias("_b"))
-    every = spans.select(*keys, F.explode(F.sequence("_a", "_b")).alias(day))
-    return every.join(rows, [*keys, day], "left").withColumn(value, F.coalesce(value, F.lit(0)))
+    """One row for each key and calendar day between its first and last, missing days as 0.
+
+    Each row is followed by the days up to the next one of its key, so the given rows are shuffled and the days are not.
+    """
+    following = F.lead(day).over(Window.partitionBy(*keys).orderBy(day))
+    spans = rows.where(F.col(day).isNotNull()).withColumn("_last", F.greatest(F.col(day), F.date_sub(following, 1)))
+    every = spans.withColumn("_day", F.explode(F.sequence(F.col(day), F.coalesce("_last", day))))
+    known = reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.col("_day") == F.col(day))  # null keys match nothing
+    held = {c: F.when(known, F.col(c)) for c in rows.columns if c not in (*keys, day)}
+    held[value] = F.coalesce(held[value], F.lit(0))
+    return every.select(*keys, F.col("_day").alias(day), *[v.alias(c) for c, v in held.items()])
 
 
 def reset_point(rows: DataFrame, keys: list[str], order: list[str], counter: str, most: int) -> DataFrame:
