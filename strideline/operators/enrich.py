@@ -44,11 +44,12 @@ def second_source(games: DataFrame, extra: DataFrame) -> DataFrame:
     """
     candidates = extra.select("extra_id", "home", "away", F.expr("date_add(day, 1)").alias("until"))
     asked = games.select("game_id", "home", "away", "game_date")
-    # The match counts days back from the game: on a mirrored calendar that is the match ahead.
+    # The match counts days back from the game: on a mirrored calendar that is the match ahead,
+    # and its last day is the first of the games.
     mirrored = lambda c: F.date_sub(F.lit("2100-01-01").cast("date"), F.unix_date(c))
     left = asked.withColumn("_at", mirrored("game_date"))
     right = candidates.withColumn("_back", mirrored(F.date_sub("until", 1))).drop("until")
-    matched = written(joins.band_match(left, right, ["home", "away"], "game_id", "_at", "extra_id", "_back", order=["game_date", "game_id"]).select("game_id", "extra_id"))
+    matched = written(joins.band_match(left, right, ["home", "away"], "game_id", "_at", "extra_id", "_back", latest_first=True).select("game_id", "extra_id"))
     lines = matched.join(extra.select("extra_id", "line"), "extra_id").select("game_id", "line")
     filled = games.join(lines, "game_id", "left").withColumn("was_filled", F.col("home_line").isNull() & F.col("line").isNotNull()).withColumn("home_line", F.coalesce("home_line", "line")).drop("line")
     new = extra.join(matched.select("extra_id"), "extra_id", "left_anti").select(F.col("extra_id").alias("game_id"), "home", "away", F.col("day").alias("game_date"), "margin", "total", F.col("line").alias("home_line"), F.lit(False).alias("was_filled"))
