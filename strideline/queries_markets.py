@@ -103,7 +103,7 @@ def fallback_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_(BASE, "select game_id, game_id in (select event_id from box) as has_box from games"))
 def anti_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, b = tables.games(spark, sf_dir).select("game_id"), tables.box(spark, sf_dir).select(F.col("event_id").alias("game_id"))
-    return g.join(b, "game_id", "left_semi").withColumn("has_box", F.lit(True)).unionByName(g.join(b, "game_id", "left_anti").withColumn("has_box", F.lit(False)))
+    return joins.marked(g, b, "game_id", "has_box")
 
 
 @query(with_(BASE, "select count(*) filter (g is not null and b is not null) as shared, count(*) filter (b is null) as left_only, count(*) filter (g is null) as right_only, round(avg(cast(g is not null and b is not null as double)), 6) as shared_rate from (select game_id as g from games) full join (select distinct event_id as b from box) on g = b"))
