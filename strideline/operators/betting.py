@@ -119,10 +119,14 @@ def running(bets: DataFrame, by: str, **values: Column) -> DataFrame:
 
 
 def kelly_curve(bets: DataFrame, start: float = 100.0, by: str = "season") -> DataFrame:
-    """Bankroll after each bet under compounding stakes: a running sum of log growth, so no fold is needed."""
+    """Bankroll after each bet under compounding stakes, and its logarithm: a running sum of log growth, so no fold is needed.
+
+    The logarithm stays exact where a long run's bankroll is too large or too small for a double.
+    """
     stake = F.col("kelly")
     growth = F.when(F.col("result") == 1, 1 + stake * (F.col("price") - 1)).when(F.col("result") == -1, 1 - stake).otherwise(1.0)
-    return running(bets, by, log_growth=F.ln(growth)).withColumn("bankroll", start * F.exp("log_growth")).drop("log_growth")
+    grown = running(bets, by, log_growth=F.ln(growth))
+    return grown.withColumn("bankroll", start * F.exp("log_growth")).withColumn("log_bankroll", F.ln(F.lit(start)) + F.col("log_growth")).drop("log_growth")
 
 
 def flat_curve(bets: DataFrame, by: str = "season") -> DataFrame:

@@ -223,7 +223,7 @@ CURVE = "partition by season order by game_date, game_id, market, side rows betw
 
 @query(with_(BETS, f"select game_id, market, side, round(ln(100::double) + sum(ln(case when result = 1 then 1 + kelly * (price - 1) when result = -1 then 1 - kelly else 1.0::double end)) over ({CURVE}), 6) as log_bankroll from bets"))
 def bankroll_kelly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return betting.kelly_curve(bets(spark, sf_dir)).select("game_id", "market", "side", F.round(F.ln("bankroll"), 6).alias("log_bankroll"))
+    return betting.kelly_curve(bets(spark, sf_dir)).select("game_id", "market", "side", F.round("log_bankroll", 6).alias("log_bankroll"))
 
 
 @query(with_(BETS, f"select game_id, market, side, round(sum(profit) over w, 6) + 0.0 as profit_to_date, round(sum(profit) over w / count(*) over w * 100, 6) + 0.0 as roi_to_date from bets window w as ({CURVE})"))
