@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strideline.functions import rules
+from strideline.functions import odds, rules
 from strideline.operators import betting, joins, log, parlays, stars, stats
 from strideline.plans import serving
 from strideline.registry import bets, frame, opps, query, r6, rounded, the_log
@@ -166,7 +166,7 @@ def regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(PREDICTED, "e as (select list_distinct(quantile_cont(p, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) as edges from (select 1 / (1 + exp(-predicted_margin / 10)) as p from oos)), s as (select list_sort(edges) as edges from e)", "select cast(len(list_filter(edges[2:len(edges) - 1], lambda x : x < p)) as int) as bin, count(*) as n, round(avg(p), 6) as mean_pred, round(avg(cast(home_win as double)), 6) as actual_rate, round(avg(abs(p - home_win)), 6) as mean_abs_err from (select 1 / (1 + exp(-predicted_margin / 10)) as p, home_win from oos), s group by 1"))
 def calibration_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = frame(spark, sf_dir).withColumn("p", 1 / (1 + F.exp(-F.col("predicted_margin") / 10)))
+    f = frame(spark, sf_dir).withColumn("p", odds.logistic(F.col("predicted_margin") / 10))
     return rounded(stats.calibration(f, "p", "home_win"))
 
 
