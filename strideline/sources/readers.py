@@ -40,7 +40,9 @@ def tagged_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """
     rows = spark.read.option("lineSep", "\nid,").text(paths).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^id,", "").alias("value"))
     lines = F.filter(F.split("value", r"\r?\n|\r$"), lambda x: F.trim(x) != "")
-    fields = lambda line: F.transform(F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda x: F.trim(F.regexp_replace(F.trim(x), '^"|"$', "")))
+    quoted = lambda line: F.transform(F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda x: F.trim(F.regexp_replace(F.trim(x), '^"|"$', "")))
+    # The pattern looks on to the end of the line at each comma: only lines with quotes need it.
+    fields = lambda line: F.when(line.contains('"'), quoted(line)).otherwise(F.transform(F.split(line, ","), lambda x: F.trim(x)))
     rows = rows.select("file", F.transform(lines, fields).alias("lines")).withColumn("record_id", F.get(F.get("lines", F.lit(0)), F.lit(0)))
     return rows.where(F.col("record_id").isNotNull() & ~F.col("record_id").isin(*TAGS)).select("file", "record_id", F.expr("slice(lines, 2, greatest(size(lines) - 1, 0))").alias("lines"))
 
