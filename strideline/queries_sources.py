@@ -60,9 +60,19 @@ def starter_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(enrich.starter_quality(g.select("game_id"), starts, 2.6))
 
 
-def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scoreboard texts, one for each day: nested events with prices as American text."""
-    g = tables.games(spark, sf_dir)
+#: Events of a scoreboard page, about: a document that one worker reads whole.
+PAGE = 5_000
+
+
+def _feed(spark: SparkSession, sf_dir: str, period: str) -> DataFrame:
+    """Scoreboard texts, a page of at most about PAGE events after the other for each period: nested events with prices as American text.
+
+    Plain games are dealt to their page; events are made where the page is.
+    """
+    g = tables.games(spark, sf_dir).withColumn("period", F.date_format("game_date", period))
+    most = g.groupBy("period").count().agg(F.max("count")).first()[0] or 0
+    g = g.withColumn("page", F.pmod(F.xxhash64("game_id"), F.lit(1 + most // PAGE)))
+    g = g.select("period", "page", "game_id", "is_neutral", "home", "away", "home_score", "away_score", "home_line", "total_line", "home_open", "home_close", "away_open", "away_close").repartition("period", "page")
     price = lambda c: F.struct(F.when(odds.decimal_to_american(c) > 0, F.concat(F.lit("+"), odds.decimal_to_american(c).cast("string"))).otherwise(odds.decimal_to_american(c).cast("string")).alias("odds"))
     quoted = lambda s: F.struct(price(f"{s}_open").alias("open"), price(f"{s}_close").alias("close"))
     side = lambda s: F.struct(F.lit(s).alias("homeAway"), F.col(f"{s}_score").cast("string").alias("score"), F.struct(F.concat(F.lit("T"), F.col(s).cast("string")).alias("abbreviation")).alias("team"), F.array(F.struct(F.struct(F.concat(F.lit("P "), F.col(s).cast("string")).alias("displayName")).alias("athlete"))).alias("probables"))
@@ -74,7 +84,7 @@ def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     odds_ = F.array(F.struct(F.struct(quoted("home").alias("home"), quoted("away").alias("away")).alias("moneyline"), lines.alias("pointSpread"), totals.alias("total")))
     game = F.struct(F.col("is_neutral").alias("neutralSite"), F.struct(F.struct((F.col("home_score") > 0).alias("completed")).alias("type")).alias("status"), F.array(side("away"), side("home")).alias("competitors"), odds_.alias("odds"))
     event = F.struct(F.col("game_id").cast("string").alias("id"), F.array(game).alias("competitions"))
-    return g.groupBy("game_date").agg(F.collect_list(event).alias("events")).select("game_date", F.to_json(F.struct("events")).alias("value"))
+    return g.groupBy("period", "page").agg(F.collect_list(event).alias("events")).select(F.to_json(F.struct("events")).alias("value"))
 
 
 AMERICAN = "case when {c} >= 2 then round_even(({c} - 1) * 100, 0) when {c} > 1 then round_even(-100 / ({c} - 1), 0) end"
@@ -93,7 +103,7 @@ FEED_SQL = (
 def feed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON arrays become rows: sides by their mark, all prices and lines as numbers, probable starters."""
     path = new_folder(spark)
-    _feed(spark, sf_dir).select("value").write.text(path)
+    _feed(spark, sf_dir, "yyyyMMdd").write.option("compression", "gzip").text(path)
     return rounded(readers.feed_events(spark.read.text(path)).drop("starts", "season_type"))
 
 
@@ -104,10 +114,9 @@ def _names(spark: SparkSession, path: str) -> list[dict]:
 
 @query(with_(BASE, FEED_SQL))
 def feed_over_the_web(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scoreboards of a month each, fetched by the connector, a partition each; one that isn't there has no events."""
+    """Scoreboards of a month each, in pages where it has many games, fetched by the connector, a partition each; one that isn't there has no events."""
     path = new_folder(spark)
-    days = _feed(spark, sf_dir).groupBy(F.date_format("game_date", "yyyyMM")).agg(F.concat_ws(",", F.collect_list(F.expr("substring(value, 12, length(value) - 13)"))).alias("events"))
-    days.select(F.concat(F.lit('{"events":['), "events", F.lit("]}")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    _feed(spark, sf_dir, "yyyyMM").write.option("maxRecordsPerFile", 1).text(path)
     found = web.read(spark, web.Documents, f"{web.url_of(path)}/{{name}}", [*_names(spark, path), {"name": "missing"}])
     return rounded(readers.feed_events(found).drop("starts", "season_type"))
 
