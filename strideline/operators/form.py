@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from strideline.functions import rules
 from strideline.operators import order
-from strideline.operators.log import play_order, team_window
+from strideline.operators.log import play_order, team_window, window
 
 PRIOR = (Window.unboundedPreceding, -1)
 
 
 def trailing(log: DataFrame, values: dict[str, str], games: int = 10, inclusive: bool = False) -> DataFrame:
     """Trailing means of columns, named by ``values``; frames share one sort. Inclusive frames hold the current row."""
-    frame = team_window().rowsBetween(1 - games, 0) if inclusive else team_window().rowsBetween(-games, -1)
+    frame = window(log).rowsBetween(1 - games, 0) if inclusive else window(log).rowsBetween(-games, -1)
     return log.select("*", *[F.avg(c).over(frame).alias(name) for c, name in values.items()])
 
 
@@ -48,11 +48,13 @@ def versus(log: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def rest_days(log: DataFrame, missing: int = 7) -> DataFrame:
-    return log.withColumn("rest", F.coalesce(F.date_diff("game_date", F.lag("game_date").over(team_window())), F.lit(missing)))
+    return log.withColumn("rest", F.coalesce(F.date_diff("game_date", F.lag("game_date").over(window(log))), F.lit(missing)))
 
 
 def streak(log: DataFrame, inclusive: bool = False) -> DataFrame:
     """Signed run of wins (+) or losses (-) by gaps and islands; before the game, or with it."""
+    if "_block" in log.columns:
+        return _streak_in_blocks(log, inclusive)
     w = team_window()
     turned = F.when(F.col("won") == F.lag("won").over(w), 0).otherwise(1)
     island = log.withColumn("_turn", turned).withColumn("_island", F.sum("_turn").over(w))
@@ -63,6 +65,23 @@ def streak(log: DataFrame, inclusive: bool = False) -> DataFrame:
     return now.drop("_turn", "_island")
 
 
+def _streak_in_blocks(log: DataFrame, inclusive: bool) -> DataFrame:
+    """A run's length is the distance of ranks from the game it began with, which may stand in an earlier block: of each
+    block and team only the last such game, one row, stands in a window over blocks."""
+    w = window(log)
+    began = F.when(~F.coalesce(F.col("won") == F.lag("won").over(w), F.lit(False)) & ~F.col("_before"), F.col("_rank"))
+    ends = log.select("team", "_block", "_rank", "_before", "won").withColumn("_began", began).groupBy("team", "_block").agg(F.max("_began").alias("_last"))
+    earlier = Window.partitionBy("team").orderBy("_block").rowsBetween(*PRIOR)
+    carried = ends.select(F.col("team").alias("_team"), F.col("_block").alias("_at"), F.max("_last").over(earlier).alias("_carried"))
+    rows = log.withColumn("_began", began).join(F.broadcast(carried), F.col("team").eqNullSafe(F.col("_team")) & (F.col("_block") == F.col("_at")), "left")
+    last = 0 if inclusive else -1
+    since = F.coalesce(F.max("_began").over(w.rowsBetween(Window.unboundedPreceding, last)), F.col("_carried"))
+    run = (F.col("_rank") + last - since + 1).cast("int")
+    won, there = (F.col("won"), F.lit(True)) if inclusive else (F.lag("won").over(w), F.lag("_rank").over(w).isNotNull())
+    signed = F.when(there, F.when(won == 1, run).otherwise(-run)).otherwise(0)
+    return rows.withColumn("streak", signed).drop("_began", "_team", "_at", "_carried")
+
+
 def calendar_sum(rows: DataFrame, keys: list[str], day: str, value: str, days: int, name: str) -> DataFrame:
     """Sum over the ``days`` calendar days before each row's day: a range frame, so missing days need no rows."""
     number = F.date_diff(F.col(day), F.lit("1970-01-01").cast("date"))

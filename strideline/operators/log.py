@@ -23,6 +23,31 @@ def team_window(*more: str) -> Window:
     return Window.partitionBy("team", *more).orderBy(*play_order())
 
 
+#: Rows of a log that stand in a block, and in a task.
+BLOCK, TASK = 5_000, 50_000
+
+
+def in_blocks(log: DataFrame, reach: int) -> DataFrame:
+    """The log in blocks of its total order (_rank: by team, then as played), each with the ``reach`` rows before it (_before).
+
+    A block may cut a team's games anywhere; trailing frames of ``reach`` rows are whole in it, so no task holds a team.
+    """
+    ranks = order.ranked(log.withColumn("_away", ~F.col("is_home")), "_rank", "team", "game_date", "_away", "game_id").drop("_away")
+    parts = -(-ranks.count() // TASK)
+    at, near = F.expr(f"_rank div {BLOCK}"), F.col("_rank") % BLOCK >= BLOCK - reach
+    rows = ranks.withColumn("_at", at).withColumn("_block", F.explode(F.when(near, F.array("_at", F.col("_at") + 1)).otherwise(F.array("_at"))))
+    return rows.withColumn("_before", F.col("_block") != F.col("_at")).drop("_at").repartition(max(1, parts), "_block")
+
+
+def out_of_blocks(rows: DataFrame) -> DataFrame:
+    return rows.where(~F.col("_before")).drop("_before", "_block", "_rank")
+
+
+def window(log: DataFrame) -> Window:
+    """A team's games in order: all of them, or those of a block."""
+    return Window.partitionBy("_block", "team").orderBy("_rank") if "_block" in log.columns else team_window()
+
+
 def two_rows_to_one(rows: DataFrame, key: str, side: str, values: list[str]) -> DataFrame:
     """Pivot home and away rows to one row per key in one shuffle; keys without exactly one row of each side drop out."""
     picked = [F.max(F.when(F.col(side) == flag, F.col(v))).alias(f"{name}_{v}") for flag, name in ((True, "home"), (False, "away")) for v in values]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideline.functions import rules
@@ -15,14 +15,17 @@ from strideline.plans.leagues import REGISTRY
 from strideline.sources.scratch import written
 
 FORM = {"pf": "pf10", "pa": "pa10", "won": "won10", "ats": "ats10"}
+#: Games of a trailing mean.
+GAMES = 10
 #: Neutral values for a team without history.
 NEUTRAL = {"won10": 0.5, "ats10": 0.5}
 FEATURES = [f"{s}_{c}" for s in ("home", "away") for c in ("pf10", "pa10", "won10", "ats10", "streak", "rest")]
 
 
 def team_features(games: DataFrame, missing_rest: int = 7) -> DataFrame:
-    """The team log with form, streak and rest: all frames share one shuffle and sort by team."""
-    return form.streak(form.rest_days(form.trailing(log.team_log(games), FORM), missing_rest))
+    """The team log with form, streak and rest: all frames share one shuffle and sort, in blocks that cut long histories."""
+    rows = log.in_blocks(log.team_log(games).drop("season", "over", "opponent", "covered"), GAMES)
+    return log.out_of_blocks(form.streak(form.rest_days(form.trailing(rows, FORM, GAMES), missing_rest)))
 
 
 def features(games: DataFrame, missing_rest: int = 7) -> DataFrame:
@@ -81,18 +84,20 @@ def build(games: DataFrame, league: str, trees: Spec | None = None) -> dict[str,
 def as_of_now(games: DataFrame, league: str) -> dict[str, DataFrame]:
     """Ratings and form with every game so far, from which games to come are scored."""
     rated = ratings.history(games.withColumn("league", F.lit(league)))
-    last = Window.partitionBy("team").orderBy(F.desc("game_date"), F.asc("is_home"), F.desc("game_id"))
-    now = form.streak(form.trailing(log.team_log(games), FORM, inclusive=True), inclusive=True)
+    rows = log.in_blocks(log.team_log(games), GAMES)
+    now = form.streak(form.trailing(rows, FORM, GAMES, inclusive=True), inclusive=True).where(~F.col("_before"))
+    last = now.groupBy("team").agg(F.max_by(F.struct(*[c for c in now.columns if not c.startswith("_") and c != "team"]), "_rank").alias("_x"))
     return {
         "ratings": rated,
         "final_ratings": ratings.final(rated),
-        "current_form": now.withColumn("_r", F.row_number().over(last)).where("_r = 1").withColumnRenamed("game_date", "last_day").drop("_r"),
+        "current_form": last.select("team", "_x.*").withColumnRenamed("game_date", "last_day"),
     }
 
 
 def upcoming(games: DataFrame, form_now: DataFrame, ratings_now: DataFrame, league: str = "nfl") -> DataFrame:
     """Feature rows of games to come (home, away, game_date): ratings and current form; unknown teams get neutral values."""
     spec = REGISTRY[league]
+    form_now, ratings_now = written(form_now), written(ratings_now)  # a row for each team, made once for both sides
     out = games
     for side in ("home", "away"):
         team = form_now.select(F.col("team").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in (*FORM.values(), "streak")], F.col("last_day").alias(f"_{side}_day"))
