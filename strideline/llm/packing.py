@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,13 @@ CHUNK, REMEMBER, SALT_ROWS = 1 << 20, 250_000, 200_000
 BETWEEN = "<|endoftext|>"
 
 
+#: Words of small Latin letters, and spaces after them: neither normalised nor split, so the model alone gives their ids.
+LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+ *")
+#: The character that stands for each byte in a byte-level vocabulary.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = dict(zip(_SEEN, _SEEN, strict=True)) | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*_SEEN}))}
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -46,13 +55,21 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
+        self.model = self.encoder.model
         self.between = self.encoder.token_to_id(BETWEEN)
         self.known: dict[bytes, int] = {}
         self.ids, self.size, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
         self.first = np.zeros(1 << 16, np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
-        """Ids of many words come from one encoding, in which a special token stands between words that cannot hold it."""
+        """Ids of words of letters come from the model; those of many others from one encoding, in which a special token
+        stands between words that cannot hold it."""
+        simple = [w for w in words if LETTERS.fullmatch(w.decode())]
+        if simple:
+            tokens = [[t.id for t in self.model.tokenize(w.rstrip(b" ").decode("latin-1").translate(BYTES))] for w in simple]
+            size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            self._keep(simple, np.fromiter(chain.from_iterable(tokens), np.uint32, int(size.sum())), size)
+            words = sorted({*words} - {*simple})
         plain = [w for w in words if b"<|" not in w]
         for i in range(0, len(plain), 20_000):
             part = plain[i : i + 20_000]

@@ -103,3 +103,25 @@ def test_plan_places_every_piece_once():
         assert all(seen[n] == counts[n] for n in range(capacity + 1)) and len(load) == sequences
         assert max(load.values()) <= capacity
         assert sequences <= 1.1 * -(-int((counts * np.arange(capacity + 1)).sum()) // capacity) + 1
+
+
+def test_words_of_letters_need_no_whole_encoding():
+    """Their ids come from the model alone; all others from the tokenizer, and both are the tokenizer's."""
+    ids = packing.WordIds(packing.vocabulary())
+    letters = ["the", "zqxjkv", "ouèon", "élève", "straße", "ÿçñ", "a", "t" * 300]
+    others = ["Über", "œuvre", "a\u0301b", "it's", "x1", "ªº", "n×m", "日本", "<|endoftext|>a", "ab<|", "***"]
+    encoder, asked = ids.encoder, []
+
+    class Seen:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return encoder.encode_batch_fast(texts, **options)
+
+    ids.encoder = Seen()
+    for words in (letters, others, [*letters, *others]):
+        for gap in (" ", "  \n"):
+            text = gap.join(words)
+            got, first = ids([text.encode(), b""])
+            assert got.tolist() == encoder.encode(text, add_special_tokens=False).ids and first.tolist() == [0, len(got), len(got)]
+        if words is letters:
+            assert not asked
